@@ -97,6 +97,10 @@ class WordBpe:
         return [x for x in self.blanks.split(text) if x] if self.odd_blanks.search(text) else text.split()
 
     def words(self, chunk: str) -> list[str]:
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
+            return [chunk[:-1], chunk[-1]]
         return (exact_classes(self.rule) if self.far.search(chunk) else self.pattern).findall(chunk)
 
     def merged(self, word: str) -> list[int]:
@@ -220,23 +224,55 @@ class Lexicon:
 
 
 class Codec:
-    """Encodes and decodes whole texts; what it has met since is kept by white-space chunk, ``memo`` entries at most."""
+    """Encodes and decodes whole texts.
 
-    def __init__(self, bpe: WordBpe, lexicon: Lexicon, memo: int = 150_000):
+    Chunks (what stands between white space) and words met are kept, ``memo`` of each in the
+    newer of two tables; when it is full it becomes the older one.
+    """
+
+    def __init__(self, bpe: WordBpe, lexicon: Lexicon, memo: int = 200_000):
         self.bpe, self.lexicon, self.memo = bpe, lexicon, memo
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
+        self.word: dict[str, tuple[int, str, str]] = {}
+        self.older_word: dict[str, tuple[int, str, str]] = {}
+
+    def entry(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
+
+    def learn_words(self, words: set[str]) -> None:
+        """Enter words: by the lexicon, or by merges if it does not hold them."""
+        if len(self.word) > self.memo:
+            self.older_word, self.word = self.word, {}
+        new = []
+        for w in words - self.word.keys():
+            got = self.older_word.get(w)
+            if got is None:
+                new.append(w)
+            else:
+                self.word[w] = got
+        for w, n in zip(new, self.lexicon.numbers(new).tolist(), strict=True):
+            self.word[w] = self.entry(self.lexicon.output(n) if n >= 0 else self.bpe.merged(w))
 
     def learn(self, chunks: set[str]) -> None:
-        """Enter chunks: their words by the lexicon, words unseen there by merges."""
-        if len(self.known) + len(chunks) > self.memo:
-            self.known = {}
-        chunks = [c for c in chunks if c not in self.known]
-        split = [self.bpe.words(c) for c in chunks]
-        words = list(dict.fromkeys(w for x in split for w in x))
-        ids = {w: self.lexicon.output(n) if n >= 0 else self.bpe.merged(w) for w, n in zip(words, self.lexicon.numbers(words).tolist(), strict=True)}
-        for c, x in zip(chunks, split, strict=True):
-            own = [i for w in x for i in ids[w]]
-            self.known[c] = len(own), " ".join(map(str, own)), " ".join(map(self.bpe.token.__getitem__, own))
+        if len(self.known) > self.memo:
+            self.older, self.known = self.known, {}
+        new = []
+        for c in chunks - self.known.keys():
+            got = self.older.get(c)
+            if got is None:
+                new.append(c)
+            else:
+                self.known[c] = got
+        split = list(map(self.bpe.words, new))
+        self.learn_words({w for x in split for w in x})
+        word = self.word
+        for c, x in zip(new, split, strict=True):
+            if len(x) == 1:
+                self.known[c] = word[x[0]]
+            else:
+                parts = [p for w in x if (p := word[w])[0]]
+                self.known[c] = sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
@@ -246,11 +282,7 @@ class Codec:
             for piece in self.bpe.special_pattern.split(t) if t and "<" in t else [t or ""]:
                 own.append(piece if piece in self.bpe.special else self.bpe.chunks(self.bpe.normal(piece)))
             parts.append(own)
-        self.learn({c for own in parts for x in own if not isinstance(x, str) for c in x} - self.known.keys())
-        # a batch may hold a chunk whose entry was dropped just now
-        missing = {c for own in parts for x in own if not isinstance(x, str) for c in x} - self.known.keys()
-        if missing:
-            self.learn(missing)
+        self.learn(set().union(*[x for own in parts for x in own if not isinstance(x, str)]))
         out = []
         for own in parts:
             got = []
@@ -259,16 +291,17 @@ class Codec:
                     got.append((1, str(self.bpe.special[x]), x))
                 else:
                     got += map(self.known.__getitem__, x)
-            got = [g for g in got if g[0]]
-            n, ids, tokens = zip(*got, strict=True) if got else ((), (), ())
-            out.append((sum(n), " ".join(ids), " ".join(tokens)))
+            n = sum([g[0] for g in got])
+            if not all(g[0] for g in got):
+                got = [g for g in got if g[0]]
+            out.append((n, " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
         return out
 
 
 def frequent_words(docs: DataFrame, source: str, text_col: str, size: int, partial: int) -> list[str]:
     """The ``size`` most frequent words of all texts, for the lexicon.
 
-    Each task counts its words and passes on those it met ``partial`` times or more; so
+    Each task counts its words (chunks met once among 100,000 don't count) and passes on those it met ``partial`` times or more; so
     what is shuffled follows the number of tasks and the head of the distribution, and the
     driver gets ``size`` short words. Which words are in the lexicon never changes a result.
     """
@@ -280,9 +313,10 @@ def frequent_words(docs: DataFrame, source: str, text_col: str, size: int, parti
 
         def settle():
             for c, n in chunks.items():
-                for w in bpe.words(c):
-                    if len(w) <= 40:
-                        words[w] += n
+                if n > 1:
+                    for w in bpe.words(c):
+                        if len(w) <= 40:
+                            words[w] += n
             chunks.clear()
             if len(words) > 200_000:  # the tail goes; the head stays countable
                 for w, n in list(words.items()):

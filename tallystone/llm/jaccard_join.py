@@ -302,15 +302,45 @@ def open_buckets(nodes: DataFrame, total: int) -> DataFrame:
 def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
     """Pairs of nodes of different components that share a bucket and whose points allow the similarity.
 
-    A bucket of more than ``BLOCK`` nodes is worked in pairs of blocks, each a task's group, so no bucket is held whole.
+    A bucket of more than ``BLOCK`` nodes is worked in pairs of blocks, each a task's group, so no bucket is held whole. Buckets of one
+    tree leaf are bounded together, a few thousand pairs in one array operation.
     """
     size = found.groupBy("key").agg(F.count("*").alias("m"))
     rows = found.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))
     rows = rows.select("key", "node", "label", "own", F.explode(pairs).alias("p")).select("key", "node", "label", "own", F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(points, "node")
 
+    def leaves(held: list[list[tuple]]) -> pa.RecordBatch:
+        """Survivors among the pairs of buckets that are single leaves; a pair of several buckets is bounded once."""
+        number: dict[int, int] = {}
+        rows: list[tuple] = []
+        for members in held:
+            for m in members:
+                if m[0] not in number:
+                    number[m[0]] = len(rows)
+                    rows.append(m)
+        pairs = {(a, b) if a < b else (b, a) for members in held for i, u in enumerate(members) for v in members[:i] if u[1] != v[1] for a, b in [(number[u[0]], number[v[0]])]}
+        if not pairs:
+            return link_batch([])
+        at = np.array(list(pairs))
+        sizes = np.array([r[3] for r in rows])
+        points = np.array([np.frombuffer(r[4], dtype=np.uint16) for r in rows])
+        low, high = np.sort(sizes[at], axis=1).T
+        at, low, high = (x[100 * low >= t * high] for x in (at, low, high))
+        bound = np.minimum(points[at[:, 0]], points[at[:, 1]]).sum(axis=1, dtype=np.int64)
+        nodes = [r[0] for r in rows]
+        return link_batch([(min(a, b), max(a, b)) for i, j in at[(100 + t) * bound >= t * (low + high)].tolist() for a, b in [(nodes[i], nodes[j])]])
+
     def run(batches):
+        held, n = [], 0
         for (_, x, y), members in grouped(batches, ["key", "x", "y"], ["node", "label", "own", "n", "point"]):
+            if x == y and len(members) <= LEAF:
+                held.append(members)
+                n += len(members) * (len(members) - 1) // 2
+                if n > 20_000:
+                    yield leaves(held)
+                    held, n = [], 0
+                continue
             nodes, labels = np.array([m[0] for m in members]), np.array([m[1] for m in members])
             sides, sizes = np.array([m[2] for m in members]), np.array([m[3] for m in members])
             vectors = np.array([np.frombuffer(m[4], dtype=np.uint16) for m in members])
@@ -323,6 +353,8 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
                     if labels[i] != labels[j]:
                         out.add((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
             yield link_batch(sorted(out))
+        if held:
+            yield leaves(held)
 
     return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(run, LINK).distinct()
 
