@@ -108,6 +108,28 @@ class WordBpe:
         sym: list[str | None] = [self.letter[b] for b in word.encode()]
         sym[-1] += self.end
         sym = [s for s in sym if s in self.vocab]
+        if len(sym) <= 48:
+            self.merge_short(sym)
+        else:
+            self.merge_long(sym)
+        return [self.vocab[s] for s in sym if s is not None]
+
+    def merge_short(self, sym: list[str]) -> None:
+        """Merge in place: the ranks of adjacent pairs in a list, its least each time."""
+        none = len(self.rank)
+        get = self.rank.get
+        ranks = [get(p, none) for p in zip(sym, sym[1:])]  # noqa: B905
+        while ranks and (r := min(ranks)) < none:
+            i = ranks.index(r)
+            a = sym[i] = sym[i] + sym[i + 1]
+            del sym[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get((sym[i - 1], a), none)
+            if i < len(ranks):
+                ranks[i] = get((a, sym[i + 1]), none)
+
+    def merge_long(self, sym: list[str | None]) -> None:
+        """The same over a heap and a linked list, in n log n; merged-away places become None."""
         n, rank = len(sym), self.rank
         left, right = list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, i, sym[i], sym[i + 1]) for i in range(n - 1) if (r := rank.get((sym[i], sym[i + 1]))) is not None]
@@ -124,7 +146,6 @@ class WordBpe:
                     heapq.heappush(heap, (r, i, sym[i], sym[k]))
             if (h := left[i]) >= 0 and (r := rank.get((sym[h], sym[i]))) is not None:
                 heapq.heappush(heap, (r, h, sym[h], sym[i]))
-        return [self.vocab[s] for s in sym if s is not None]
 
 
 def compile_lexicon(entries: dict[str, list[int]]) -> bytes:
