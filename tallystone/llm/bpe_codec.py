@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import unicodedata
 from collections import Counter
@@ -77,7 +78,7 @@ class WordBpe:
         self.pattern = regex.compile(self.rule)
         self.far = regex.compile(r"[^\x00-\u052f]")
         self.blanks = regex.compile(f"[{BLANKS}]+")
-        self.odd_blanks = regex.compile(r"[\x1c-\x1f]")
+        self.odd = "\x1c\x1d\x1e\x1f"  # white space to split() but not to the tokenizer
         self.vocab: dict[str, int] = model["vocab"]
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
         self.end = model["end_of_word_suffix"] or ""
@@ -94,7 +95,7 @@ class WordBpe:
 
     def chunks(self, text: str) -> list[str]:
         """What stands between white space."""
-        return [x for x in self.blanks.split(text) if x] if self.odd_blanks.search(text) else text.split()
+        return [x for x in self.blanks.split(text) if x] if any(map(text.__contains__, self.odd)) else text.split()
 
     def words(self, chunk: str) -> list[str]:
         if chunk.isalpha():
@@ -251,15 +252,15 @@ class Codec:
     newer of two tables; when it is full it becomes the older one.
     """
 
-    def __init__(self, bpe: WordBpe, lexicon: Lexicon, memo: int = 200_000):
+    def __init__(self, bpe: WordBpe, lexicon: Lexicon, memo: int = 350_000):
         self.bpe, self.lexicon, self.memo = bpe, lexicon, memo
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
-        self.word: dict[str, tuple[int, str, str]] = {}
-        self.older_word: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.word: dict[str, tuple[str, str]] = {}
+        self.older_word: dict[str, tuple[str, str]] = {}
 
-    def entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
+    def entry(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), " ".join(map(self.bpe.token.__getitem__, ids))
 
     def learn_words(self, words: set[str]) -> None:
         """Enter words: by the lexicon, or by merges if it does not hold them."""
@@ -285,15 +286,21 @@ class Codec:
                 new.append(c)
             else:
                 self.known[c] = got
-        split = list(map(self.bpe.words, new))
-        self.learn_words({w for x in split for w in x})
-        word = self.word
-        for c, x in zip(new, split, strict=True):
+        split = {c: self.bpe.words(c) for c in new if not c.isalpha()}
+        plain = [c for c in new if c not in split]
+        self.learn_words({w for x in split.values() for w in x}.union(plain))
+        word, known = self.word, self.known
+        for c in plain:
+            known[c] = word[c]
+        for c, x in split.items():
             if len(x) == 1:
-                self.known[c] = word[x[0]]
+                known[c] = word[x[0]]
+            elif len(x) == 2:
+                a, b = word[x[0]], word[x[1]]
+                known[c] = (f"{a[0]} {b[0]}", f"{a[1]} {b[1]}") if a[0] and b[0] else a if a[0] else b
             else:
                 parts = [p for w in x if (p := word[w])[0]]
-                self.known[c] = sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
+                known[c] = " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """Per text: number of ids, ids joined by spaces, decoded text."""
@@ -303,19 +310,30 @@ class Codec:
             for piece in self.bpe.special_pattern.split(t) if t and "<" in t else [t or ""]:
                 own.append(piece if piece in self.bpe.special else self.bpe.chunks(self.bpe.normal(piece)))
             parts.append(own)
-        self.learn(set().union(*[x for own in parts for x in own if not isinstance(x, str)]))
+        missing: set[str] = set()
+        for own in parts:
+            for x in own:
+                if not isinstance(x, str):
+                    missing.update(itertools.filterfalse(self.known.__contains__, x))
+        if missing:
+            self.learn(missing)
+        known, older = self.known, self.older
         out = []
         for own in parts:
-            got = []
+            got: list[tuple[str, str]] = []
             for x in own:
                 if isinstance(x, str):
-                    got.append((1, str(self.bpe.special[x]), x))
+                    got.append((str(self.bpe.special[x]), x))
                 else:
-                    got += map(self.known.__getitem__, x)
-            n = sum([g[0] for g in got])
-            if not all(g[0] for g in got):
+                    found = list(map(known.get, x))
+                    if None in found:  # the table was renewed for this very batch
+                        found = [older[c] if g is None else g for c, g in zip(x, found, strict=True)]
+                    got += found
+            ids = " ".join([g[0] for g in got])
+            if "  " in ids or ids[:1] == " " or ids[-1:] == " ":  # chunks without ids
                 got = [g for g in got if g[0]]
-            out.append((n, " ".join([g[1] for g in got]), " ".join([g[2] for g in got])))
+                ids = " ".join([g[0] for g in got])
+            out.append((ids.count(" ") + 1 if ids else 0, ids, " ".join([g[1] for g in got])))
         return out
 
 
