@@ -21,7 +21,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_of, staged
@@ -66,8 +66,25 @@ class Shingler:
 
 
 def point(shingles: np.ndarray) -> np.ndarray:
-    """Numbers of shingles in each group (at most 65,535 each, which only loosens no bound as larger sets are not indexed by points)."""
-    return np.minimum(np.bincount((shingles % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS), 65_535).astype(np.uint16)
+    """Numbers of shingles in each group.
+
+    There are ``GROUPS`` groups for up to 8 times as many shingles, and 8 times more groups for each 8 times
+    more shingles, as the bound prunes only where groups are small. Finer groups fold into coarser.
+    """
+    groups = GROUPS
+    while 8 * groups < len(shingles):
+        groups *= 8
+    return np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint16)
+
+
+def folded(p: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+    return p.reshape(-1, groups).sum(axis=0, dtype=np.int32)
+
+
+def fine_bound(a: np.ndarray, b: np.ndarray) -> int:
+    """The bound on the overlap in the finest groups that both points have."""
+    n = min(len(a), len(b))
+    return int(np.minimum(folded(a, n), folded(b, n)).sum())
 
 
 class CountTree:
@@ -119,7 +136,7 @@ def link_bucket(ids: list[int], sets: list[np.ndarray], t: int) -> list[tuple[in
             root[i] = i = root[root[i]]
         return i
 
-    points, sizes = np.array([point(s) for s in sets]), np.array([len(s) for s in sets])
+    points, sizes = np.array([folded(point(s)) for s in sets]), np.array([len(s) for s in sets])
     tree, out = CountTree(points, sizes, t), []
     for i in range(len(ids)):
         for j in tree.search(points[i], len(sets[i])).tolist():
@@ -194,12 +211,26 @@ def first_keys(reps: DataFrame) -> DataFrame:
     return reps.select("node", F.explode(F.array_compact(parts)).alias("key"))
 
 
+def likely(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` without most rows whose ``node`` isn't wanted, so that their texts are not shuffled.
+
+    A bitmap of 2^25 bits in 1,024 rows is broadcast: 4 MB whatever the input. More nodes than it can tell apart
+    let more rows through and change nothing else.
+    """
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 25))
+    bits = wanted.select(F.shiftright(spot, 15).alias("b"), spot.bitwiseAND(32767).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", F.shiftright(F.col("p"), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    found = texts.withColumns({"b": F.shiftright(spot, 15), "p": spot.bitwiseAND(32767)}).join(F.broadcast(bits), "b")
+    return found.where(byte.bitwiseAND(F.expr("shiftleft(1L, cast(p & 7 as int))")) != 0).select("node", "t")
+
+
 def with_sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, width: int, carry: str, fields: str) -> DataFrame:
     """Shingle sets of the documents that ``wanted`` (column ``node``) names, with its array ``carry`` of structs exploded next to them."""
     names = [f.split()[0] for f in fields.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32()}
     types = [kinds[f.split()[1]] for f in fields.split(", ")]
-    rows = docs.select(F.xxhash64(id_col, text_col).alias("node"), F.col(text_col).alias("t")).join(wanted, "node").dropDuplicates(["node"])
+    texts = docs.select(F.xxhash64(id_col, text_col).alias("node"), F.col(text_col).alias("t"))
+    rows = likely(texts, wanted).join(wanted, "node").dropDuplicates(["node"])
     rows = rows.select("node", "t", *[F.col(carry)[c].alias(c) for c in names])
 
     def run(batches):
@@ -310,6 +341,9 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))
     rows = rows.select("key", "node", "label", "own", F.explode(pairs).alias("p")).select("key", "node", "label", "own", F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(points, "node")
 
+    def survives(a: np.ndarray, b: np.ndarray, total: int) -> bool:
+        return len(a) == GROUPS or len(b) == GROUPS or (100 + t) * fine_bound(a, b) >= t * total
+
     def leaves(held: list[list[tuple]]) -> pa.RecordBatch:
         """Survivors among the pairs of buckets that are single leaves; a pair of several buckets is bounded once."""
         number: dict[int, int] = {}
@@ -324,12 +358,13 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
             return link_batch([])
         at = np.array(list(pairs))
         sizes = np.array([r[3] for r in rows])
-        points = np.array([np.frombuffer(r[4], dtype=np.uint16) for r in rows])
+        fine = [np.frombuffer(r[4], dtype=np.uint16) for r in rows]
+        points = np.array([folded(p) for p in fine])
         low, high = np.sort(sizes[at], axis=1).T
         at, low, high = (x[100 * low >= t * high] for x in (at, low, high))
         bound = np.minimum(points[at[:, 0]], points[at[:, 1]]).sum(axis=1, dtype=np.int64)
         nodes = [r[0] for r in rows]
-        return link_batch([(min(a, b), max(a, b)) for i, j in at[(100 + t) * bound >= t * (low + high)].tolist() for a, b in [(nodes[i], nodes[j])]])
+        return link_batch([(min(a, b), max(a, b)) for i, j in at[(100 + t) * bound >= t * (low + high)].tolist() for a, b in [(nodes[i], nodes[j])] if survives(fine[i], fine[j], sizes[i] + sizes[j])])
 
     def run(batches):
         held, n = [], 0
@@ -343,14 +378,15 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
                 continue
             nodes, labels = np.array([m[0] for m in members]), np.array([m[1] for m in members])
             sides, sizes = np.array([m[2] for m in members]), np.array([m[3] for m in members])
-            vectors = np.array([np.frombuffer(m[4], dtype=np.uint16) for m in members])
+            fine = [np.frombuffer(m[4], dtype=np.uint16) for m in members]
+            vectors = np.array([folded(p) for p in fine])
             right = np.flatnonzero(sides == y)
             if not len(right) or len(np.unique(labels)) < 2:
                 continue
             tree, out = CountTree(vectors[right], sizes[right], t), set()
             for i in np.flatnonzero(sides == x).tolist():
                 for j in right[tree.search(vectors[i], int(sizes[i]))].tolist():
-                    if labels[i] != labels[j]:
+                    if labels[i] != labels[j] and survives(fine[i], fine[j], sizes[i] + sizes[j]):
                         out.add((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
             yield link_batch(sorted(out))
         if held:
@@ -374,15 +410,8 @@ def verified(docs: DataFrame, id_col: str, text_col: str, pairs: DataFrame, t: i
     return rows.repartition("pair").sortWithinPartitions("pair").mapInArrow(run, LINK)
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
-    """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of similarity ``threshold`` / 100 or more.
-
-    Words are compared with A-Z lower-cased; fewer than ``width`` words are one shingle. A
-    null or wordless text has 0 shingles and is linked with nothing. Rows alike in id and
-    text are one document; rows of one id with different texts are different documents.
-    Null ids never name a component that holds another id. Other columns are not read.
-    """
-    spark: SparkSession = docs.sparkSession
+def labelled_rows(docs: DataFrame, id_col: str, text_col: str, threshold: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The signatures, and ``(fp, label, component_id)`` of each set that isn't empty."""
     sigs = signatures(docs, id_col, text_col, threshold, width)
     full = sigs.where("n > 0")
     classes = staged(full.groupBy("fp").agg(F.min("k").alias("node"), F.min("id").alias("least")), "classes")
@@ -398,7 +427,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         label = components(links.unionByName(more))
     named = classes.join(label, "node", "left").select("fp", "least", F.coalesce("label", "node").alias("label"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = named.join(least, "label").select("fp", "component_id")
-    out = full.select("fp", F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(ids, "fp").select(id_col, "n_shingles", "component_id")
+    return sigs, named.join(least, "label").select("fp", "label", "component_id")
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
+    """Per row of ``docs``: id, ``n_shingles`` and ``component_id``, the smallest id reachable by links of similarity ``threshold`` / 100 or more.
+
+    Words are compared with A-Z lower-cased; fewer than ``width`` words are one shingle. A
+    null or wordless text has 0 shingles and is linked with nothing. Rows alike in id and
+    text are one document; rows of one id with different texts are different documents.
+    Null ids never name a component that holds another id. Other columns are not read.
+    """
+    sigs, classes = labelled_rows(docs, id_col, text_col, threshold, width)
+    out = sigs.where("n > 0").select("fp", F.col("id").alias(id_col), F.col("n").alias("n_shingles")).join(classes, "fp").select(id_col, "n_shingles", "component_id")
     rest = sigs.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return out.unionByName(rest)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
+    """``docs`` with one document of each component: the one of smallest id. Wordless texts stay; rows alike in id and text become one."""
+    sigs, classes = labelled_rows(docs, id_col, text_col, threshold, width)
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("k"))
+    first = sigs.where("n > 0").join(classes, "fp").groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.k").alias("__k"))
+    kept = staged(first.unionByName(sigs.where("n = 0").select(F.col("k").alias("__k"))).distinct(), "kept")
+    keyed = docs.withColumn("__k", F.xxhash64(id_col, text_col))
+    return keyed.join(kept, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")
