@@ -73,21 +73,22 @@ def text_profile(text: str | None) -> tuple:
     return len(words), chars, sum(map(text.count, SYMBOLS)), dup, repeated_words(words), signed(xxhash.xxh3_64_intdigest(raw)), list(lines), list(lines.values())
 
 
-PROFILE = "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, copy long, lines array<long>, line_words array<long>"
+PROFILE = "key long, id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, copy long, lines array<long>, line_words array<long>"
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     def run(batches):
         names = [x.split()[0] for x in PROFILE.split(", ")]
-        for ids, hosts, texts in rows_of(batches, [id_col, host_col, text_col]):
+        for keys, ids, hosts, texts in rows_of(batches, ["key", "id", "host", "t"]):
             cols = list(zip(*map(text_profile, texts), strict=True))
-            arrays = [pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in cols[:6]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[6:]]]
+            arrays = [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(hosts, pa.string()), *[pa.array(c, pa.int64()) for c in cols[:6]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[6:]]]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select(id_col, host_col, text_col).mapInArrow(run, PROFILE)
+    key = F.xxhash64(id_col, host_col, text_col)
+    return docs.select(key.alias("key"), F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.col(text_col).alias("t")).mapInArrow(run, PROFILE)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_words: int = 10, min_left: float = 0.2, max_repeat: float = 0.2) -> DataFrame:
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_docs: int = 20, min_words: int = 10, min_left: float = 0.2, max_repeat: float = 0.2, with_key: bool = False) -> DataFrame:
     """Per row of ``docs``: id, the base counts, ``base_failed``, ``n_words_left`` and ``kept``.
 
     ``base_failed``: fewer than ``min_words`` words, or more than ``max_repeat`` of them in
@@ -111,5 +112,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     left = (F.col("n_words") - F.coalesce(F.col("w"), F.lit(0))).alias("n_words_left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(round(100 * max_repeat)) * F.col("n_words"))
     enough = (F.col("n_words_left") >= min_words) & (F.col("n_words_left") >= min_left * F.col("n_words"))
-    out = joined.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left, failed.alias("base_failed"))
+    out = joined.select(*["key"] * with_key, F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left, failed.alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & enough)
+
+
+def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """``docs`` without the rows that ``quality`` rejects; columns and texts stay as they are."""
+    kept = quality(docs, id_col, text_col, host_col, with_key=True, **limits).where("kept").select(F.col("key").alias("__key"))
+    return docs.withColumn("__key", F.xxhash64(id_col, host_col, text_col)).join(kept, "__key", "left_semi").drop("__key")
