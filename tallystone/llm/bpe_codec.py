@@ -337,6 +337,12 @@ class Codec:
         return out
 
 
+@functools.lru_cache(1)
+def worker_codec(source: str, path: str) -> Codec:
+    """One codec per worker process: what it has met stays known from task to task."""
+    return Codec(WordBpe(source), Lexicon(path))
+
+
 def frequent_words(docs: DataFrame, source: str, text_col: str, size: int, partial: int) -> list[str]:
     """The ``size`` most frequent words of all texts, for the lexicon.
 
@@ -393,7 +399,7 @@ def bpe_encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         text, data = kept.value
-        codec = Codec(WordBpe(text), Lexicon(mapped_file(data, ".lexicon")))
+        codec = worker_codec(text, mapped_file(data, ".lexicon"))
         for doc_ids, texts in rows_of(batches, [id_col, text_col], 128):
             got = codec.encode(texts)
             cols = [pa.array(doc_ids, pa.int64()), pa.array([g[0] for g in got], pa.int64())]

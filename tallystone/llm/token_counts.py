@@ -8,6 +8,7 @@ plus the additional bytes of symbols that no piece covers.
 
 from __future__ import annotations
 
+import functools
 import heapq
 
 import pyarrow as pa
@@ -113,6 +114,12 @@ class PieceCounter:
         return total
 
 
+@functools.lru_cache(1)
+def worker_counter(model: bytes) -> PieceCounter:
+    """One counter per worker process: the segments that it has met stay known from task to task."""
+    return PieceCounter(model)
+
+
 def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:
     """Per row of ``docs``: id, ``n_bytes`` (UTF-8), ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
@@ -124,7 +131,7 @@ def token_counts(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col
     field = docs.schema[id_col]
 
     def run(batches):
-        counter = PieceCounter(kept.value)
+        counter = worker_counter(kept.value)
         for ids, texts in rows_of(batches, [id_col, text_col]):
             n = [counter.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
