@@ -89,8 +89,7 @@ def config_key_variants(key: Column, prefixes: tuple[str, ...] = ("REACT_APP_",
 
 
 def is_comment(text: Column, language: Column) -> Column:
-    """Whether a line is blank or a comment of its language."""
+    """Whether a line is blank or a comment of its language, by how it starts."""
     s = F.trim(text)
-    hash_ = language.isin("python", "ruby", "shell", "yaml")
-    slash = language.isin("javascript", "typescript", "solidity", "go", "rust", "java")
-    return (s == "") | (hash_ & s.startswith("#")) | (slash & starts_with_any(s, ["//", "/*", "*"]))
+    marked = F.when(language == "python", s.startswith("#")).when(language.isin("javascript", "typescript", "go", "rust"), s.startswith("//")).when(language == "solidity", s.startswith("//") | s.startswith("/*"))
+    return (s == "") | F.coalesce(marked, F.lit(False))
