@@ -8,7 +8,10 @@ is its log-likelihood ratio for each pair of characters; candidates above the th
 
 from __future__ import annotations
 
+import builtins
 import math
+import os
+import sys
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,7 +39,7 @@ def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary:
 
     The bound is ``n_random`` and ``n_ordinary`` strings. Identifiers are runs of letters,
     digits, ``_`` and ``-`` of 6 or more characters with at most two digits, from the
-    documents whose hashed text is least.
+    documents whose hashed text is least, and the names in a few modules of Python.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("markov:"), F.col("id").cast("string")), 256)
@@ -45,26 +48,30 @@ def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary:
     least = docs.select(text_col).where(F.length(text_col) > 0).orderBy(F.xxhash64(text_col)).limit(max(1, n_ordinary // 20))
     words = least.select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z][A-Za-z0-9_-]{5,}"), 0)), 1, 200)).alias("s"))
     words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]")).distinct().limit(n_ordinary).select("s", F.lit(0).alias("label"))
-    return drawn.unionByName(words)
+    # names of the language's own library stand in where the texts hold few
+    names = sorted({n.strip("_") for n in (*dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(os), *dir(math)) if len(n) > 5})
+    given = spark.range(1).select(F.explode(F.split(F.lit(",".join(names)), ",")).alias("s"), F.lit(0).alias("label"))
+    return drawn.unionByName(words).unionByName(given)
 
 
-def train_ratios(strings: DataFrame, smoothing: float = 0.5) -> list[float]:
-    """The log ratio of the two models for each pair of classes, row by row: 66 x 66 numbers.
+def train_ratios(strings: DataFrame, backoff: float = 5.0) -> list[float]:
+    """The log ratio of the two models for each pair of classes, row by row: 65 x 65 numbers.
 
-    Pair counts are one aggregate; the driver gets 2 x 66 x 66 counts at most.
+    A pair's probability backs off to that of its second class. Pair counts are one
+    aggregate; the driver gets 2 x 65 x 65 counts at most.
     """
     n = F.length("s")
     pairs = strings.where(n > 1).select("label", F.explode(F.expr("transform(sequence(1, length(s) - 1), i -> substring(s, i, 2))")).alias("p"))
     cell = ((char_class(F.substring("p", 1, 1)) - 1) * CLASSES + char_class(F.substring("p", 2, 1)) - 1).cast("int")
-    counts = [[smoothing] * (CLASSES * CLASSES) for _ in range(2)]
+    counts = [[0] * (CLASSES * CLASSES) for _ in range(2)]
     for r in pairs.groupBy("label", cell.alias("cell")).agg(F.count("*").alias("n")).collect():
         counts[r["label"]][r["cell"]] += r["n"]
-    out = []
-    for a in range(CLASSES):
-        rows = [c[a * CLASSES : (a + 1) * CLASSES] for c in counts]
-        sums = [sum(x) for x in rows]
-        out += [math.log(rows[1][b] / sums[1]) - math.log(rows[0][b] / sums[0]) for b in range(CLASSES)]
-    return out
+    logs = []
+    for c in counts:
+        single = [(sum(c[b::CLASSES]) + 0.5) / (sum(c) + 0.5 * CLASSES) for b in range(CLASSES)]
+        rows = [sum(c[a * CLASSES : (a + 1) * CLASSES]) for a in range(CLASSES)]
+        logs.append([math.log((c[a * CLASSES + b] + backoff * single[b]) / (rows[a] + backoff)) for a in range(CLASSES) for b in range(CLASSES)])
+    return [x - y for x, y in zip(logs[1], logs[0], strict=True)]
 
 
 def match_spans(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -106,7 +113,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.6
 
     Places are in code points, end exclusive. A Markov span never overlaps a pattern's. A
     null text has no spans; all other columns and repeated rows stay. No shuffle but for
-    the bounded training sample; the model is a literal of 4,356 numbers. An input column
+    the bounded training sample; the model is a literal of 4,225 numbers. An input column
     named ``spans`` is replaced.
     """
     model = train_ratios(labelled_strings(docs, text_col, n_random, n_ordinary))

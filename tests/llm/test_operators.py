@@ -1,0 +1,384 @@
+"""Every operator on small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+
+from tallystone.llm import ann, bpe_codec, html_extract, jaccard_join, line_quality, lm_score, mixing, secrets, substring_dedup, token_counts
+from tallystone.llm.queries import read_file
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Extra columns whose names the operators use inside.
+SCHEMA = "doc_id long, text string, source string, k long, id string, row int, spans string, t int, n int, key string"
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(i, t, s, 1, "x", 2, "y", 3, 4, "z") for i, t, s in rows], SCHEMA)
+
+
+def words(n, seed, size=400):
+    r = random.Random(seed)
+    return [f"w{r.randrange(size)}" for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    a, b = " ".join(words(120, 1)), " ".join(words(90, 2))
+    near = a.replace("w", "w", 1).split()
+    near[5] = "changed"
+    return [
+        (1, a, "s1"), (2, " ".join(near), "s1"), (3, a, "s2"), (3, a, "s2"), (4, None, None), (5, "", "s1"), (None, b, "s3"), (7, "one two", None), (8, "one  TWO\n", "s2"),
+        (9, b + " tail", "s3"), (10, "x" * 60_000, "s1"), (11, "\x00 ﬁ É \U0001d4b3 \x1c\x85", "s1"), (12, " ".join(words(9000, 3, 9000)), "s2"),
+    ]
+
+
+# --- 1 ----------------------------------------------------------------------------------------
+
+
+def passage(seed):
+    r = random.Random(seed)
+    return " ".join(" ".join(f"p{r.randrange(10**6)}" for _ in range(14)).capitalize() + "." for _ in range(5))
+
+
+def own(seed):
+    r = random.Random(seed)
+    return " ".join(" ".join(f"o{r.randrange(10**6)}" for _ in range(11)).capitalize() + "." for _ in range(6))
+
+
+def test_repeated_passages_go_from_all_but_the_first(spark):
+    p = passage(1)
+    texts = {1: own(11) + " " + p + " " + own(12), 2: own(21) + "\n" + p + " " + own(22), 3: own(31), 4: None, 5: ""}
+    rows = [*texts.items(), (2, texts[2])]
+    got = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, [(i, t, "s") for i, t in rows])).collect()}
+    assert got[1].text == texts[1] and got[3].text == texts[3] and got[4].text is None and got[5].text == ""
+    assert p.split(". ")[2] not in got[2].text and own(21) in got[2].text and own(22) in got[2].text
+    assert got[2].n_removed == 5 and got[4].n_sentences == 0
+
+
+def test_spans_by_brute_force(spark):
+    r = random.Random(5)
+    pool = [" ".join(f"q{r.randrange(500)}" for _ in range(r.choice([3, 9, 26]))) + "." for _ in range(30)]
+    docs = [(i, " ".join(r.choice(pool) for _ in range(12)), "s") for i in range(25)]
+    first: dict = {}
+    expected = {}
+    for i, text, _ in docs:
+        parts = [s for s in substring_dedup.sentences(text)]
+        gone = set()
+        for at in range(len(parts)):
+            runs = [(at, at + 1)] if len(parts[at].split()) >= 25 else []
+            end = next((e for e in range(at + 2, len(parts) + 1) if len(" ".join(parts[at:e]).split()) >= 20), None)
+            runs += [(at, end)] if end else []
+            for a, b in runs:
+                span = tuple(" ".join(parts[a:b]).split())
+                if first.setdefault(span, (i, a)) != (i, a):
+                    gone |= set(range(a, b))
+        expected[i] = len(gone)
+    got = {x.doc_id: x.n_removed for x in substring_dedup.dedup(frame(spark, docs)).collect()}
+    assert got == expected and any(expected.values())
+
+
+# --- 2 ----------------------------------------------------------------------------------------
+
+
+def test_language_model_is_normalised_and_beats_unigrams_on_held_out_texts(spark):
+    r = random.Random(2)
+    tongues = [[f"{c}{i}" for i in range(60)] for c in ("a", "b", "c")]
+    docs = [(i, " ".join(r.choices(tongues[i % 3], k=60)), "s") for i in range(700)] + [(None, None, "s"), (900, "", "s"), (901, "unmet words here", "s")]
+    got = lm_score.lm_scores(frame(spark, docs)).collect()
+    assert len(got) == len(docs)
+    toks = {i: (t.lower().split() if t else []) + [None] for i, t, _ in docs}
+    c = Counter(w for i, x in toks.items() if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2 for w in x)
+    n, v = sum(c.values()), len(c)
+    for x in got:
+        own_ = toks[x.doc_id]
+        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(own_), sum(c[w] > 0 for w in own_), n)
+        assert math.isclose(x.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own_), rel_tol=1e-9)
+    held = [x for x in got if x.held_out and x.n_tokens > 10]
+    assert len(held) > 50 and sum(x.score for x in held) > sum(x.base_score for x in held)
+
+
+def test_class_probabilities_sum_to_one():
+    share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    model = lm_score.LogBilinear.start(share, 3)
+    norm = model.normalisers()
+    for p1, p2 in ((0, 1), (lm_score.START, lm_score.START), (500, 7)):
+        s = (model.x[p1] @ model.c1.T + model.x[p2] @ model.c2.T) @ model.q.T + model.b
+        assert math.isclose(float(np.exp(s - norm[p1, p2]).sum()), 1, rel_tol=1e-4)
+
+
+# --- 3 ----------------------------------------------------------------------------------------
+
+
+def test_nearest_by_brute_force_with_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 16))
+    vectors = {i: (centres[i % 20] + 0.4 * rng.normal(size=16)).tolist() for i in range(1, 900)}
+    vectors[101] = vectors[100]
+    vectors[102] = [2 * x for x in vectors[100]]
+    bad = [(2000, None), (2001, [0.0] * 16), (2002, [float("nan")] * 16), (2003, [None] + [1.0] * 15), (2004, [float("inf")] + [1.0] * 15), (None, vectors[1]), (2005, [1.0] * 4)]
+    df = spark.createDataFrame([(i, v, 1, 2.0) for i, v in [*vectors.items(), *bad]], "vec_id long, embedding array<double>, f int, v double")
+    got: dict = {}
+    for r in ann.search(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ids = np.array(list(vectors))
+    m = np.array([vectors[i] for i in ids])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    hits = total = 0
+    for q in (i for i in vectors if i % 50 == 0):
+        s = m @ m[ids == q][0]
+        best = [i for i in sorted(ids, key=lambda i: (-round(float(s[ids == i][0]), 12), i)) if i != q][:5]
+        assert len(got[q]) == 5 and all(math.isclose(x, float(s[ids == i][0]), abs_tol=1e-9) for i, x in got[q])
+        hits, total = hits + len({i for i, _ in got[q]} & set(best)), total + 5
+    assert hits / total >= 0.9 and got[100][0][0] == 101
+    assert ann.search(df.where("vec_id = 50")).collect() == []
+    assert ann.search(df.limit(0)).collect() == []
+
+
+# --- 4 ----------------------------------------------------------------------------------------
+
+
+def brute_counts(t):
+    t = t or ""
+    w = WORD.findall(t)
+    win = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    c = Counter(win)
+    inside = {j for i, x in enumerate(win) if c[x] > 1 for j in range(i, i + 5)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), dup, len(inside)
+
+
+def test_line_rules(spark, rows):
+    common = "the same line of many pages here today"
+    filler = lambda i: "\n".join(" ".join(f"u{i}x{j}y{k}" for k in range(8)) for j in range(3))
+    docs = [*rows, *[(100 + i, f"{common}\n{filler(i)}", "host") for i in range(30)], *[(200 + i, f"{common}\nshort tail{i}", "host") for i in range(5)], (300, "a b c d e f " * 40, "host"), (301, "x\nx\n\ty # | x\n", "host")]
+    got = line_quality.quality(frame(spark, docs)).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for i, t, _ in docs:
+        by.setdefault(i, []).append(brute_counts(t))
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in by[r.doc_id]
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+    kept = {r.doc_id: r.kept for r in got}
+    assert all(kept[100 + i] for i in range(30)) and not any(kept[200 + i] for i in range(5)) and not kept[300]
+    passing = line_quality.passing(frame(spark, docs))
+    assert passing.columns == frame(spark, docs).columns and passing.count() == sum(r.kept for r in got)
+
+
+# --- 5 ----------------------------------------------------------------------------------------
+
+BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
+
+
+def brute_spans(t):
+    return sorted((m.start(), k, n, m.end()) for k, (n, p, g, least) in enumerate(BASE) for m in p.finditer(t or "") if len(m[g]) >= least)
+
+
+def test_secrets(spark, rows):
+    r = random.Random(9)
+    odd = ["token", "=", '"', " ", "secret: ", "abcdef0123456789", "AKIA", "ABCDEFGH01234567", "é", "\U0001d4b3", "PassWord=", "'", "x", "\n", "api_key", "apikey:"]
+    key = "".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=40)) + "7aQ"
+    docs = [*rows, (50, f"é use {key} now", "s"), (51, "an_ordinary_identifier_name1 and understandable2", "s"), *[(60 + i, "".join(r.choices(odd, k=14)), "s") for i in range(120)]]
+    df = frame(spark, docs)
+    found = secrets.find_secrets(df)
+    assert found.count() == len(docs)
+    texts = {}
+    for i, t, _ in docs:
+        texts.setdefault(i, []).append(t)
+    for x in found.collect():
+        base = [(s.start, s.kind, s.end) for s in x.spans if s.kind != "markov"]
+        assert base in [[(a, n, e) for a, _, n, e in brute_spans(t)] for t in texts[x.doc_id]]
+        assert [s.start for s in x.spans] == sorted(s.start for s in x.spans)
+    one = {x.doc_id: x.spans for x in found.where("doc_id in (50, 51)").collect()}
+    assert [(s.kind, s.value) for s in one[50]] == [("markov", key)] and one[51] == []
+    clean = secrets.redact(df)
+    assert clean.columns == df.columns and clean.where("doc_id = 50").first().text == "é use <|secret|> now"
+
+
+# --- 6 and 10 ---------------------------------------------------------------------------------
+
+
+def test_token_counts_equal_the_library(spark, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = token_counts.token_counts(frame(spark, rows), read_file("piece_bpe_32k.model", True), limit=100).collect()
+    assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == Counter((i, len((t or "").encode()), n := len(sp.encode(t or "")), n > 100) for i, t, _ in rows)
+    counter = token_counts.PieceCounter(read_file("piece_bpe_32k.model", True), memo=50)
+    r = random.Random(3)
+    for _ in range(3000):
+        x = "".join(r.choices(["a", "the", " ", "  ", "\n", "▁", "é", "ｱ", "\x00", "<s>", "ing", "<0x0A>", "😀"], k=r.randrange(12)))
+        assert counter.count(x) == len(sp.encode(x))
+
+
+def test_encoding_equals_the_library(spark, rows):
+    from tokenizers import Tokenizer
+
+    source = read_file("word_bpe_49k.json")
+    tk = Tokenizer.from_str(source)
+    docs = [*rows, (20, "It's <|endoftext|>THE end<|startoftext|>", "s"), (21, "don't 12³ ΑΣ É\x1cx", "s")]
+    got = bpe_codec.bpe_encode(frame(spark, docs), source, partial=1).collect()
+    want = Counter()
+    for i, t, _ in docs:
+        e = tk.encode(t or "", add_special_tokens=False)
+        want[i, len(e.ids), " ".join(map(str, e.ids)), tk.decode(e.ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids, r.decoded) for r in got) == want
+    assert all(hashlib.sha256(r.ids.encode()).hexdigest() == r.ids_sha256 for r in got)
+
+
+def test_lexicon_is_minimal_and_exact(tmp_path):
+    r = random.Random(1)
+    entries = {"".join(r.choices("abc", k=r.randrange(1, 7))): [r.randrange(100) for _ in range(r.randrange(1, 4))] for _ in range(300)}
+    (tmp_path / "x").write_bytes(bpe_codec.compile_lexicon(entries))
+    lex = bpe_codec.Lexicon(str(tmp_path / "x"))
+    names = [*entries, "", "d", "abcabcabc"]
+    got = [lex.output(n) if n >= 0 else None for n in lex.numbers(names).tolist()]
+    assert got == [entries.get(n) for n in names]
+    states = len(lex.accepts)
+    rights = {tuple(sorted(w[len(p) :] for w in entries if w.startswith(p))) for w in entries for p in [w[:i] for i in range(len(w) + 1)]}
+    assert states == len(rights)
+
+
+# --- 7 ----------------------------------------------------------------------------------------
+
+
+def shingle_set(t):
+    w = (t or "").encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute_components(docs):
+    items = list(dict.fromkeys((i, t) for i, t, _ in docs))
+    sets = [shingle_set(t) for _, t in items]
+    root = list(range(len(items)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(items)):
+        for j in range(i):
+            k = len(sets[i] & sets[j])
+            if k and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+                root[find(i)] = find(j)
+    out = {}
+    for i, x in enumerate(items):
+        ids = [items[j][0] for j in range(len(items)) if find(j) == find(i) and items[j][0] is not None]
+        out[x] = (len(sets[i]), min(ids) if ids else None)
+    return items, out
+
+
+def test_components_by_brute_force(spark, rows):
+    r = random.Random(7)
+    docs = list(rows)
+    for g in range(12):
+        base = words(r.choice([12, 60, 200, 1500]), 100 + g, 50_000)
+        for c in range(10):
+            w = list(base)
+            for _ in range(r.choice([0, 1, 2, len(w) // 40, len(w) // 30, len(w) // 20])):
+                w[r.randrange(len(w))] = f"e{r.randrange(10**6)}"
+            docs.append((1000 + 20 * g + c, " ".join(w), "s"))
+    items, want = brute_components(docs)
+    got = jaccard_join.jaccard_components(frame(spark, docs)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((i, *want[i, t]) for i, t, _ in docs)
+    kept = jaccard_join.representatives(frame(spark, docs))
+    n_components = len({want[x][1] for x in items if want[x][0]})
+    assert kept.where("length(trim(text)) > 0").count() == n_components and kept.columns == frame(spark, docs).columns
+
+
+def test_tree_bounds_never_lose_a_pair():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, size=rng.integers(5, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(80)]
+    sets += [np.delete(s, 0) for s in sets if len(s) > 10]
+    points = np.array([jaccard_join.folded(jaccard_join.point(s)) for s in sets])
+    sizes = np.array([len(s) for s in sets])
+    tree = jaccard_join.CountTree(points, sizes, 80)
+    for i, s in enumerate(sets):
+        linked = {j for j, o in enumerate(sets) if jaccard_join.linked(s, o, 80)}
+        assert linked <= set(tree.search(points[i], len(s)).tolist())
+
+
+# --- 8 ----------------------------------------------------------------------------------------
+
+
+def test_mixture_meets_capped_targets(spark, rows):
+    r = random.Random(8)
+    docs = [*rows, *[(5000 + i, " ".join(["w"] * r.randrange(1, 60)), r.choice(["s1", "s2", "s3", "é", "zz"])) for i in range(400)], *[(9000 + i, "tiny", "aa") for i in range(3)], (9100, None, "none")]
+    df = frame(spark, docs)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(docs)
+    size = lambda t: len((t or "").encode().split())
+    names = sorted({s for _, _, s in docs if s is not None}, key=lambda s: s.encode()) + [None]
+    total = {s: sum(size(t) for _, t, x in docs if x == s) for s in names}
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), sum(total.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * level > 3 * total[s]]
+        if not over:
+            break
+        for s in over:
+            target[s] = 3 * total[s]
+            left -= target[s]
+            open_.remove(s)
+    target |= {s: weight[s] * level for s in open_}
+    source = {}
+    for i, t, s in docs:
+        source.setdefault((i, size(t)), s)
+    taken = Counter()
+    for x in got:
+        s = source[x.doc_id, x.size]
+        assert x.source_size == total[s] and math.isclose(x.target, target[s], rel_tol=1e-9) and 0 <= x.taken <= 3 * x.size
+        taken[s] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in names)
+    assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
+
+
+# --- 9 ----------------------------------------------------------------------------------------
+
+
+def test_main_text(spark):
+    page = lambda i, body: (i, f"https://h.example/{i}", f"<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var t='</p>';</script></head><body><nav><ul><li><a href='/'>Home{i}</a></ul></nav>{body}<footer>&copy; x{i}</footer></body></html>")
+    pages = [
+        page(1, "<div class='ad'>buy</div><article><h1>A &amp; B</h1><p><b>one\n two<br><p>three<aside>side</aside><p>four &#233;</article><div id=comments><p>nice</div>"),
+        page(2, "<main><header><h1>Title</h1></header><section><p>body <i>text</i></p></section><form>name<input></form></main><div class='cookie-notice'>ok?</div>"),
+        (3, None, None), (4, "x", ""), (5, "https://h.example/5", "plain text only &lt; <unclosed"), (1, None, "<p>again"),
+    ]
+    pages += [(10 + i, f"https://s.example/{i}", f"<body><div class=top>Welcome to our site</div><div class=story><p>Story {i} begins</p><p>and {i * 7} ends</p></div></body>") for i in range(20)]
+    df = spark.createDataFrame([(*p, 1, "q") for p in pages], "page_id long, url string, html string, host int, low string")
+    got = {(r.page_id, r.url): r for r in html_extract.extract(df).collect()}
+    assert got[1, "https://h.example/1"].text == "A & B\none two\nthree\nfour é"
+    assert got[2, "https://h.example/2"].text == "Title\nbody text"
+    assert got[3, None].text == "" and got[4, "x"].text == "" and got[1, None].text == "again"
+    assert got[5, "https://h.example/5"].text.startswith("plain text only <")
+    assert got[15, "https://s.example/5"].text == "Story 5 begins\nand 35 ends"
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+# --- all --------------------------------------------------------------------------------------
+
+
+def test_empty_tables(spark):
+    none = frame(spark, []).limit(0)
+    assert substring_dedup.dedup(none).count() == 0
+    assert line_quality.quality(none).count() == 0
+    assert secrets.find_secrets(none).count() == 0
+    assert token_counts.token_counts(none, read_file("piece_bpe_32k.model", True)).count() == 0
+    assert bpe_codec.bpe_encode(none, read_file("word_bpe_49k.json")).count() == 0
+    assert mixing.mix(none).count() == 0
+    assert jaccard_join.jaccard_components(none).count() == 0
+    assert lm_score.lm_scores(none).count() == 0
