@@ -280,7 +280,7 @@ def first_round(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, t:
 
 
 def open_buckets(nodes: DataFrame, total: int) -> DataFrame:
-    """``(key, node, label)`` of all prefix shingles that two components share.
+    """``(key, node, label)`` of the buckets of all prefix shingles that two components share; buckets of the same nodes are one.
 
     Tasks pack their (shingle, node, label) triples by hash range into arrays, of which one row each
     travels; a range is sorted as an array. Ranges follow the number of shingles, so each
@@ -322,12 +322,19 @@ def open_buckets(nodes: DataFrame, total: int) -> DataFrame:
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
             starts = np.flatnonzero(np.concatenate([[True], rows[1:, 0] != rows[:-1, 0]]))
             low, high = np.minimum.reduceat(rows[:, 2], starts), np.maximum.reduceat(rows[:, 2], starts)
-            rows = rows[np.repeat(low != high, np.diff(np.append(starts, len(rows))))].view(np.int64)
+            lengths = np.diff(np.append(starts, len(rows)))
+            # the sum of its nodes' hashes names a bucket, so shingles of the same nodes are one
+            h = (rows[:, 1] ^ (rows[:, 1] >> np.uint64(31))) * MULT
+            name = np.add.reduceat((h ^ (h >> np.uint64(29))) * MULT, starts)
+            once = np.zeros(len(starts), dtype=bool)
+            once[np.unique(name, return_index=True)[1]] = True
+            rows[:, 0] = np.repeat(name, lengths)
+            rows = rows[np.repeat((low != high) & once, lengths)].view(np.int64)
             for at in range(0, len(rows), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[at : at + 50_000, c])) for c in range(3)], ["key", "node", "label"])
 
     packed = nodes.mapInArrow(pack, "r int, pack binary")
-    return packed.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(find, "key long, node long, label long")
+    return packed.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(find, "key long, node long, label long").distinct()
 
 
 def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
