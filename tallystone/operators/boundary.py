@@ -1,13 +1,18 @@
-"""Deployment-readiness checks of contract projects: one aggregation of the files of a project, then twelve rows."""
+"""Deployment-readiness checks: one aggregation of the files of a project, then twelve rows."""
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import dist_name, python_module
+from .facts import python_facts
+from .graph import scc
+
 #: Folders that the checks pass over, files and patterns that they look for.
 SKIP = "node_modules .git __pycache__ venv .next build dist artifacts cache coverage".split()
 API_CALLS = [r"fetch\s*\(", r"axios\.", r"\.get\s*\([\"']/", r"\.post\s*\([\"']/", "BACKEND_URL", "API_URL"]
@@ -105,3 +110,94 @@ def contract_checks(files: DataFrame) -> DataFrame:
 
 def failing(checks: DataFrame) -> Column:
     return reduce(lambda a, b: a & b, [F.col("applicable"), ~F.col("passed")])
+
+
+# --- Python projects --------------------------------------------------------------------------
+
+#: Names that the checks of Python projects look for.
+PY_SKIP = "__pycache__ .git .tox .nox venv .venv node_modules .eggs build dist .mypy_cache .pytest_cache htmlcov coverage".split()
+MANIFESTS = ["requirements.txt", "pyproject.toml", "setup.py", "setup.cfg", "Pipfile"]
+ENTRIES = ["main.py", "app.py", "manage.py", "wsgi.py", "asgi.py", "run.py", "cli.py"]
+APP_SIGNALS = ["app.py", "manage.py", "wsgi.py", "asgi.py", "Procfile"]
+WEB = ["flask", "django", "fastapi", "uvicorn", "gunicorn", "starlette", "tornado", "sanic", "aiohttp"]
+CONTAINERS = ["Dockerfile", "docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml"]
+CI_FILES, CI_DIRS = [".gitlab-ci.yml", "Jenkinsfile", ".travis.yml", "tox.ini", "Makefile"], [".github/workflows/", ".circleci/"]
+PY_ENV_BUILTIN = ["PATH", "HOME", "USER", "LANG", "SHELL", "TERM", "PYTHONPATH", "VIRTUAL_ENV", "CONDA_DEFAULT_ENV"]
+ALIASES = {"cv2": "opencv_python", "pil": "pillow", "sklearn": "scikit_learn", "yaml": "pyyaml", "bs4": "beautifulsoup4", "attr": "attrs", "gi": "pygobject", "serial": "pyserial", "dotenv": "python_dotenv", "jwt": "pyjwt", "magic": "python_magic", "dateutil": "python_dateutil"}
+PLACEHOLDER = r"(?i)your[_-]?(?:api[_-]?)?key|changeme|change[_-]me|placeholder|xxx+|<[^>]+>|todo"
+
+
+def python_imports(files: DataFrame) -> DataFrame:
+    """``project_id, path, module, relative`` of every import; the module of a relative one is as written, without dots."""
+    facts_ = python_facts(files).where("kind in ('import', 'import_from')")
+    return facts_.select("project_id", "path", F.col("name").alias("module"), (F.col("value") > 0).alias("relative")).distinct()
+
+
+def python_checks(files: DataFrame) -> DataFrame:
+    """``project_id, name, passed, applicable, detail`` of the twelve checks of Python projects.
+
+    Standard modules are those of the running interpreter. Import cycles are components of more than one module in the graph of imports
+    between a project's own modules.
+    """
+    seen = files.where(~F.arrays_overlap("dirs", F.array(*map(F.lit, PY_SKIP))) & ~F.exists("dirs", lambda d: d.endswith(".egg-info")))
+    py = F.col("ext") == ".py"
+    text = F.coalesce("content", F.lit(""))
+    test = py & F.col("name").startswith("test_") & (F.col("path").startswith("tests/") | F.col("path").startswith("test/") | (F.size("dirs") == 0))
+    at = lambda p: F.col("path") == p
+    pick = lambda cond: F.max(F.when(cond, text))
+    flat = lambda cond, value: F.array_distinct(F.flatten(F.collect_list(F.when(cond, value))))
+    env_refs = F.array_union(F.regexp_extract_all(text, F.lit(r"os\.environ(?:\.get)?\s*[\[(]\s*['\"](\w+)['\"]"), 1), F.regexp_extract_all(text, F.lit(r"os\.getenv\s*\(\s*['\"](\w+)['\"]"), 1))
+    needed = F.transform(F.filter(F.transform(F.split(text, "\r?\n"), F.trim), lambda x: x.rlike(r"^[A-Za-z0-9]")), lambda x: dist_name(F.regexp_extract(x, r"^([A-Za-z0-9._-]+)", 1)))
+    dependencies = F.transform(F.regexp_extract_all(F.regexp_extract(text, r"(?s)\[[^\]\n]*dependenc[^\]\n]*\]\s*\n(.*?)(?:\n\[|\z)", 1), F.lit(r"(?m)^\s*\"?([A-Za-z0-9._-]+)\"?\s*[=<>~!]"), 1), dist_name)
+    package = F.when(py & (F.col("name") == "__init__.py") & (F.size("dirs") >= 1) & ((F.size("dirs") == 1) | ((F.size("dirs") == 2) & (F.element_at("dirs", 1) == "src"))), F.element_at("dirs", -1))
+    ranked = seen.withColumn("r_py", first_of(py, "r"))
+    some = ranked.groupBy("project_id").agg(
+        F.collect_set("path").alias("paths"), F.collect_set(F.when(~package.isin("tests", "test"), package)).alias("packages"), F.count_if(test).alias("n_tests"), F.collect_list(F.when(test & (F.size("dirs") > 0), text)).alias("tests"),
+        flat(py, env_refs).alias("refs"), flat(F.col("path").isin(".env", ".env.example", ".env.template"), F.transform(env_pairs(text), lambda p: p["k"])).alias("defined"), F.bool_or(F.col("path").isin(".env", ".env.example")).alias("has_env"),
+        F.bool_or(F.col("path").isin(".env", ".env.example") & F.exists(env_pairs(text), lambda p: p["v"].rlike(PLACEHOLDER))).alias("placeholder"),
+        flat(at("requirements.txt") | F.col("path").rlike(r"^requirements/[^/]*\.txt$"), needed).alias("required"), flat(at("pyproject.toml"), dependencies).alias("depends"), pick(at("pyproject.toml")).alias("pyproject"),
+        F.bool_or(F.col("path").isin(*APP_SIGNALS) | ((F.col("r_py") <= 30) & py & text.rlike("(?:import|from) (?:" + "|".join(WEB) + ")"))).alias("app"), F.bool_or(reduce(lambda a, b: a | b, [F.col("path").startswith(d) for d in CI_DIRS])).alias("ci_dir"),
+    )
+    imports = python_imports(seen.where(py)).cache()
+    broken_setup = python_facts(seen.where(at("setup.py"))).where("kind = 'unparseable'").select("project_id", F.lit(True).alias("bad_setup")).distinct()
+    outer = imports.where("not relative").groupBy("project_id").agg(F.collect_set(dist_name(F.substring_index("module", ".", 1))).alias("imported"))
+    own_dir = F.regexp_replace("path", r"[^/]+$", "")
+    target = F.concat(own_dir, F.regexp_replace("module", r"\.", "/"))
+    relative = imports.where("relative").groupBy("project_id").agg(F.collect_list(F.struct(target.alias("t"), own_dir.alias("d"), (F.col("module") == "").alias("bare"))).alias("relative"))
+    module = seen.where(py).select("project_id", "path", F.regexp_replace(python_module(F.col("path")), r"^src\.", "").alias("m"))
+    links = imports.join(module, ["project_id", "path"]).select("project_id", F.col("m").alias("src"), F.when(F.col("relative"), F.concat_ws(".", F.nullif(F.regexp_replace("m", r"\.?[^.]*$", ""), F.lit("")), F.col("module"))).otherwise(F.col("module")).alias("dst"))
+    links = links.join(module.select("project_id", F.col("m").alias("dst")).distinct(), ["project_id", "dst"]).where("src <> dst")
+    circular = scc(links).groupBy("project_id", "scc").count().where("count > 1").select("project_id", F.lit(True).alias("circular")).distinct()
+    p = some.join(outer, "project_id", "left").join(relative, "project_id", "left").join(circular, "project_id", "left").join(broken_setup, "project_id", "left").join(module.groupBy("project_id").agg(F.count("*").alias("modules")), "project_id", "left")
+    has = lambda names: F.arrays_overlap("paths", F.array(*map(F.lit, names)))
+    rel = F.coalesce("relative", F.array().cast("array<struct<t:string,d:string,bare:boolean>>"))
+    lost = F.size(F.filter(rel, lambda x: F.when(x["bare"], ~F.array_contains("paths", F.concat(x["d"], F.lit("__init__.py")))).otherwise(~(F.array_contains("paths", F.concat(x["t"], F.lit(".py"))) | F.array_contains("paths", F.concat(x["t"], F.lit("/__init__.py")))))))
+    standard = F.array(*[F.lit(n.lower()) for n in sorted(sys.stdlib_module_names)])
+    third = F.array_except(F.array_except(F.coalesce("imported", F.array().cast("array<string>")), standard), F.col("packages"))
+    declared = F.array_union("required", "depends")
+    alias = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    undeclared = F.filter(third, lambda x: ~F.array_contains(declared, F.coalesce(F.try_element_at(alias, x), x)))
+    undefined = F.array_except(F.array_except("refs", "defined"), F.array(*map(F.lit, PY_ENV_BUILTIN)))
+    main = F.exists("packages", lambda n: F.array_contains("paths", F.concat(n, F.lit("/__main__.py"))) | F.array_contains("paths", F.concat(F.lit("src/"), n, F.lit("/__main__.py"))))
+    toml = F.coalesce("pyproject", F.lit(""))
+    naming = F.size(F.filter("tests", lambda t: F.exists("packages", lambda n: t.contains(n))))
+    toml_fine = F.col("pyproject").isNull() | (toml.rlike(r"(?m)^\[(project|tool\.poetry)\]") & toml.rlike(r"(?m)^\[build-system\]"))
+    first5 = lambda c: F.array_join(F.slice(F.sort_array(c), 1, 5), ", ")
+    yes, none = F.lit(True), F.lit("")
+    rows: list[tuple[str, Column, Column, Column]] = [
+        ("internal_imports_resolve", lost == 0, F.size(rel) > 0, lost.cast("string")),
+        ("requirements_exist", has(MANIFESTS), yes, none),
+        ("deps_match_imports", F.size(undeclared) == 0, (F.size(declared) > 0) & (F.size(third) > 0), first5(undeclared)),
+        ("env_vars_defined", F.size(undefined) == 0, F.size("refs") > 0, first5(undefined)),
+        ("no_placeholder_config", ~F.col("placeholder"), F.col("has_env"), none),
+        ("entry_point_exists", has(ENTRIES) | main | toml.rlike(r"\[project\.scripts\]|\[tool\.poetry\.scripts\]|console_scripts"), yes, none),
+        ("tests_exist", F.col("n_tests") > 0, yes, F.col("n_tests").cast("string")),
+        ("tests_import_project", F.coalesce(F.try_divide(naming, F.size("tests")) > 0.3, F.lit(False)), (F.size("packages") > 0) & (F.size("tests") > 0), naming.cast("string")),
+        ("no_circular_imports", F.col("circular").isNull(), F.coalesce("modules", F.lit(0)) > 1, none),
+        ("dockerfile_exists", has(CONTAINERS), F.col("app"), none),
+        ("ci_config_exists", has(CI_FILES) | F.col("ci_dir"), yes, none),
+        ("build_config_valid", has(["pyproject.toml", "setup.py", "setup.cfg"]) & toml_fine & F.col("bad_setup").isNull(), yes, none),
+    ]
+    # dockerfile_exists looks for files even where it doesn't apply; the others pass there
+    structs = [F.struct(F.lit(n).alias("name"), (ok if n == "dockerfile_exists" else ok | ~F.coalesce(a, F.lit(False))).alias("passed"), F.coalesce(a, F.lit(False)).alias("applicable"), d.alias("detail")) for n, ok, a, d in rows]
+    return p.select("project_id", F.explode(F.array(*structs)).alias("c")).select("project_id", "c.*")

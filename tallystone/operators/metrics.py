@@ -112,7 +112,7 @@ def complexity(functions: DataFrame) -> DataFrame:
 
 def composite(levels: DataFrame, names: list[str]) -> DataFrame:
     """``acds`` = 1 - product of (1 - level) over the measured levels, each clamped to [0, 1]; which are unmeasured."""
-    clamp = lambda c: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0))
+    clamp = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)))
     left = reduce(lambda a, b: a * b, [F.coalesce(1 - clamp(c), F.lit(1.0)) for c in names])
     measured = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in names])
     missing = F.concat_ws(",", *[F.when(F.col(c).isNull(), F.lit(c)) for c in names])
