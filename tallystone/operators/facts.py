@@ -121,9 +121,25 @@ def _compose_edges(services: dict) -> list[tuple[str, str, str, bool]]:
     return out
 
 
+COMPOSE = ("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
+
+
+def compose_services(files: DataFrame) -> DataFrame:
+    """``project_id, path, name, image`` of the services of compose files."""
+    schema = "project_id string, path string, name string, image string"
+
+    def run(batches):
+        for b in batches:
+            out = [(project, path, name, str(spec.get("image", ""))) for project, path, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True) for name, spec in _services(t).items()]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["project_id", "path", "name", "image"])
+
+    return files.where(F.col("name").isin(*COMPOSE)).select("project_id", "path", "content").mapInArrow(run, schema)
+
+
 def compose_edges(files: DataFrame) -> DataFrame:
     """Edges between the services of compose files: dependencies, links and mentions in the environment (the first other service of each item)."""
-    rows = files.where(F.col("name").isin("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")).select("project_id", "content")
+    rows = files.where(F.col("name").isin(*COMPOSE)).select("project_id", "content")
 
     def run(batches):
         for b in batches:
@@ -170,6 +186,12 @@ def _python_facts(text: str | None) -> list[tuple]:
             out.append(("function", x.name, "", x.lineno, branch_points(x)))
             if not ast.get_docstring(x) and not x.name.startswith("_"):
                 out.append(("smell", "C0116", x.name, x.lineno, 0))
+        elif isinstance(x, ast.If):
+            if isinstance(x.test, ast.Compare) and isinstance(x.test.left, ast.Name) and x.test.left.id == "__name__":
+                out.append(("main_guard", "", "", x.lineno, 0))
+        elif isinstance(x, ast.While):
+            if isinstance(x.test, ast.Constant) and x.test.value is True:
+                out.append(("endless", "", "", x.lineno, 0))
         elif isinstance(x, ast.ClassDef):
             out.append(("class", x.name, ",".join(ast.unparse(b) for b in x.bases), x.lineno, 0))
             if not ast.get_docstring(x):

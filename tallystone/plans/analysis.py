@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.rates import smoothed_rate
 from ..operators import boundary, facts, graph, metrics
+from ..operators.modules import all_edges
 from ..sources import tree
 
 #: Fixed value: an import of a JavaScript module.
@@ -62,7 +63,7 @@ def analyse(files: DataFrame) -> DataFrame:
     """
     kept = tree.analysed(files)
     projects = files.select("project_id").distinct()
-    edges = graph.edge_map(facts.contract_edges(kept).unionByName(facts.compose_edges(kept)))
+    edges = graph.edge_map(all_edges(kept))
     ddg = graph.feasibility(projects, graph.cycles(edges)).select("project_id", "cycles", "rating", "drd")
     calls = facts.api_calls(kept).where(text.is_internal_url(F.col("path"))).withColumn("call_id", F.monotonically_increasing_id())
     calls = calls.select("project_id", "call_id", "method", F.regexp_replace(text.url_path(F.col("path")), "^$", "/").alias("path"))

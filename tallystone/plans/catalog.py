@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rates, text
-from ..operators import graph, metrics, sast
+from ..operators import facts, graph, metrics, modules, sast, sast_rules
+from ..sources import tree
+from . import analysis, fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -460,3 +463,48 @@ def dedup_first(spark, sf_dir):
 def union_fallback(spark, sf_dir):
     first = t(spark, sf_dir, "nation").where("n_regionkey = 99").select(F.col("n_nationkey").alias("id"), F.lit("primary").alias("origin"))
     return metrics.union_fallback(first, t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.lit("fallback").alias("origin")))
+
+
+# --- source trees (embedded projects; their results are held by tests) --------------------------
+
+
+@query()
+def srctree_scan(spark, sf_dir):
+    listed = tree.read_tree(spark, path=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), content="false")
+    return tree.analysed(listed).groupBy("project_id", "ext").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+@query()
+def py_ast_facts(spark, sf_dir):
+    return facts.python_facts(fixtures.files(spark))
+
+
+@query()
+def compose_edges(spark, sf_dir):
+    return facts.compose_edges(fixtures.files(spark))
+
+
+@query()
+def sast_full_rules(spark, sf_dir):
+    return sast.scan(tree.scanned(fixtures.files(spark)), sast_rules.RULES)
+
+
+@query()
+def project_graph(spark, sf_dir):
+    return graph.edge_map(modules.all_edges(fixtures.files(spark)))
+
+
+@query()
+def project_checks(spark, sf_dir):
+    return analysis.checks(fixtures.files(spark))
+
+
+@query()
+def project_analysis(spark, sf_dir):
+    return analysis.analyse(fixtures.files(spark))
+
+
+@query()
+def manifest_packages(spark, sf_dir):
+    f = fixtures.files(spark)
+    return facts.requirements(f).select("project_id", "name", "version").unionByName(facts.node_packages(f).select("project_id", "name", "version"))
