@@ -19,6 +19,10 @@ from pyspark.sql.window import Window
 from .common import staged
 
 
+#: Pairs that are scored at a time, and cells of the matrix of estimates.
+PAIRS, CELLS = 16_384, 2_000_000
+
+
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random rotation: the orthogonal factor of a Gaussian matrix, signs made unique."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -74,29 +78,19 @@ class Searcher:
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.reranked = 0
 
-    def exact(self, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """The cosine, row by row, so that equal vectors get equal scores."""
-        return (self.vectors[q] * v).sum(axis=1) / (self.length[q] * np.sqrt((v * v).sum(axis=1)))
-
-    def add(self, ids: np.ndarray, codes: np.ndarray, f: np.ndarray, v: np.ndarray) -> None:
-        dim = v.shape[1]
-        signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-        estimate = (self.turned @ signs.T) / (np.sqrt(dim) * f).astype(np.float32)
-        error = self.epsilon * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))
-        least = self.score[:, -1]
-        # the k-th best lower bound among these rows is also a floor
-        if estimate.shape[1] > self.k:
-            low = np.partition(estimate - error.astype(np.float32), -self.k - 1, axis=1)[:, -self.k - 1]
-            least = np.maximum(least, low)
-        q, c = np.nonzero(estimate + error.astype(np.float32) >= (least - 1e-5)[:, None])
-        own = self.ids[q] != ids[c]
-        q, c = q[own], c[own]
-        self.reranked += len(q)
-        if not len(q):
-            return
-        score = self.exact(q, v[c])
+    def exact(self, q: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The cosine of pairs, row by row, so that equal vectors get equal scores; a bounded number of pairs at a time."""
+        out = np.empty(len(q))
+        for at in range(0, len(q), PAIRS):
+            s = slice(at, at + PAIRS)
+            x, y = self.vectors[q[s]], v[c[s]]
+            out[s] = (x * y).sum(axis=1) / (self.length[q[s]] * np.sqrt((y * y).sum(axis=1)))
+        return out
+
+    def keep(self, q: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        """Merge scored rows into the best ``k``; ties go to the smaller id."""
         q = np.concatenate([np.repeat(np.arange(len(self.ids)), self.k), q])
-        score, ids = np.concatenate([self.score.ravel(), score]), np.concatenate([self.found.ravel(), ids[c]])
+        score, ids = np.concatenate([self.score.ravel(), score]), np.concatenate([self.found.ravel(), ids])
         order = np.lexsort((ids, -score, q))
         q, score, ids = q[order], score[order], ids[order]
         place = np.arange(len(q)) - np.searchsorted(q, q)
@@ -104,8 +98,29 @@ class Searcher:
         self.score[q[top], place[top]] = score[top]
         self.found[q[top], place[top]] = ids[top]
 
+    def add(self, ids: np.ndarray, codes: np.ndarray, f: np.ndarray, v: np.ndarray) -> None:
+        """Rerank the rows that a query's bound can't rule out: those of best estimates first, which raises the bar for the others."""
+        dim = v.shape[1]
+        signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
+        estimate = (self.turned @ signs.T) / (np.sqrt(dim) * f).astype(np.float32)
+        error = (self.epsilon * np.sqrt(np.maximum(0, 1 - f * f) / (f * f) / max(1, dim - 1))).astype(np.float32)
+        estimate[self.ids[:, None] == ids[None, :]] = -np.inf
+        n = min(2 * self.k, len(ids))
+        best = np.argpartition(estimate, len(ids) - n, axis=1)[:, len(ids) - n :]
+        q, c = np.repeat(np.arange(len(self.ids)), n), best.ravel()
+        real = np.isfinite(estimate[q, c])
+        q, c = q[real], c[real]
+        self.keep(q, ids[c], self.exact(q, v, c))
+        estimate[q, c] = -np.inf
+        estimate += error
+        q, c = np.nonzero(estimate >= (self.score[:, -1:] - 1e-5).astype(np.float32)) if len(ids) > n else (q[:0], c[:0])
+        real = np.isfinite(estimate[q, c])
+        q, c = q[real], c[real]
+        self.reranked += len(q)
+        self.keep(q, ids[c], self.exact(q, v, c))
+
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, epsilon: float = 3.0, seed: int = 7, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, epsilon: float = 1.9, seed: int = 7, block: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows by cosine for each row whose id is divisible by ``every``.
 
     Ties go to the smaller id. Null ids, null or zero vectors and vectors with null or
@@ -133,7 +148,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         def run(batches, sent=sent):
             ids, v = sent.value
             s = Searcher(ids, v, k, epsilon, rotation(dim, seed))
-            step = max(64, 4_000_000 // max(1, len(ids)))
+            step = max(64, CELLS // max(1, len(ids)))
             for whole in batches:
                 for at in range(0, whole.num_rows if len(ids) else 0, step):
                     x = whole.slice(at, step)
