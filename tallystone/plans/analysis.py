@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.rates import smoothed_rate
 from ..operators import boundary, facts, graph, metrics
 from ..operators.modules import all_edges
-from ..sources import tree
+from ..sources import manifests, tree
 
 #: Fixed value: an import of a JavaScript module.
 JS_IMPORT = r"(?:\bfrom\s+|\brequire\s*\(\s*|\bimport\s*\(\s*|\bimport\s+)['\"]([^'\"]+)['\"]"
@@ -69,8 +69,7 @@ def analyse(files: DataFrame) -> DataFrame:
     calls = calls.select("project_id", "call_id", "method", F.regexp_replace(text.url_path(F.col("path")), "^$", "/").alias("path"))
     icr = metrics.interface_consistency(calls, facts.api_endpoints(kept).select("project_id", "method", F.col("path").alias("route")).distinct()).select("project_id", "icr")
     refs = facts.config_references(kept).select("project_id", "key").withColumn("ref", F.monotonically_increasing_id())
-    compose_keys = kept.where(F.col("name").rlike("compose")).select("project_id", F.explode(facts.every("content", r"(?m)^\s*-?\s*([A-Z][A-Z0-9_]+)\s*[:=]", 1)).alias("key"))
-    defs = facts.env_definitions(kept).select("project_id", "key").unionByName(compose_keys).select("project_id", F.explode(text.config_key_variants(F.col("key"))).alias("v")).distinct()
+    defs = manifests.config_definitions(kept).select("project_id", F.explode(text.config_key_variants(F.col("key"))).alias("v")).distinct()
     known = refs.select("project_id", "ref", F.explode(text.config_key_variants(F.col("key"))).alias("v")).join(defs, ["project_id", "v"], "left_semi").select("ref", F.lit(True).alias("hit")).distinct()
     ccs = rate_of(refs.join(known, "ref", "left"), F.col("hit").isNotNull(), "ccs")
     urr = import_references(kept).where("is_internal").groupBy("project_id").agg(smoothed_rate(~F.col("resolved")).alias("urr"))
