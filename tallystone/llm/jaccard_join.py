@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from .common import rows_of, staged
 from .components import components
 
-#: Coordinates of a point, shingles of a set that name its buckets in the first round, points of a tree leaf, most documents of one bucket task, shingles of one sort.
+#: Coordinates of a point, shingles of a set that name its buckets in the first round, points of a tree leaf, most documents of one bucket task and of one block, buckets that a node carries, shingles of one sort.
 GROUPS = 128
 FIRST = 4
 LEAF = 16
 CHUNK = 256
 BLOCK = 4096
+SEEN = 32
 SORT = 1_000_000
 #: The order's sample: documents, occurrences from which a shingle is common, and how many are kept.
 SAMPLE_DOCS, COMMON, COMMON_KEPT = 5000, 3, 100_000
@@ -341,26 +342,38 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
     """Pairs of nodes of different components that share a bucket and whose points allow the similarity.
 
     A bucket of more than ``BLOCK`` nodes is worked in pairs of blocks, each a task's group, so no bucket is held whole. Buckets of one
-    tree leaf are bounded together, a few thousand pairs in one array operation.
+    tree leaf are bounded together, a few thousand pairs in one array operation. A pair that several buckets hold comes from the
+    first of them: each node carries its first ``SEEN`` buckets, and a pair waits if both carry an earlier one.
     """
     size = found.groupBy("key").agg(F.count("*").alias("m"))
     rows = found.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))
-    rows = rows.select("key", "node", "label", "own", F.explode(pairs).alias("p")).select("key", "node", "label", "own", F.col("p.x").alias("x"), F.col("p.y").alias("y")).join(points, "node")
+    rows = rows.select("key", "node", "label", "own", F.explode(pairs).alias("p")).select("key", "node", "label", "own", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    seen = found.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
+    rows = rows.join(staged(points.join(seen, "node"), "carried"), "node")
 
     def survives(a: np.ndarray, b: np.ndarray, total: int) -> bool:
         return len(a) == GROUPS or len(b) == GROUPS or (100 + t) * fine_bound(a, b) >= t * total
 
-    def leaves(held: list[list[tuple]]) -> pa.RecordBatch:
+    def first(a: list[int], b: list[int], key: int) -> bool:
+        return not any(k < key for k in set(a).intersection(b))
+
+    def leaves(held: list[tuple[int, list[tuple]]]) -> pa.RecordBatch:
         """Survivors among the pairs of buckets that are single leaves; a pair of several buckets is bounded once."""
         number: dict[int, int] = {}
         rows: list[tuple] = []
-        for members in held:
+        for _, members in held:
             for m in members:
                 if m[0] not in number:
                     number[m[0]] = len(rows)
                     rows.append(m)
-        pairs = {(a, b) if a < b else (b, a) for members in held for i, u in enumerate(members) for v in members[:i] if u[1] != v[1] for a, b in [(number[u[0]], number[v[0]])]}
+        pairs: dict[tuple[int, int], int] = {}
+        for key, members in sorted(held, key=lambda x: x[0], reverse=True):
+            for i, u in enumerate(members):
+                for v in members[:i]:
+                    if u[1] != v[1]:
+                        p, q = number[u[0]], number[v[0]]
+                        pairs[(p, q) if p < q else (q, p)] = key
         if not pairs:
             return link_batch([])
         at = np.array(list(pairs))
@@ -371,13 +384,13 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
         at, low, high = (x[100 * low >= t * high] for x in (at, low, high))
         bound = np.minimum(points[at[:, 0]], points[at[:, 1]]).sum(axis=1, dtype=np.int64)
         nodes = [r[0] for r in rows]
-        return link_batch([(min(a, b), max(a, b)) for i, j in at[(100 + t) * bound >= t * (low + high)].tolist() for a, b in [(nodes[i], nodes[j])] if survives(fine[i], fine[j], sizes[i] + sizes[j])])
+        return link_batch([(min(a, b), max(a, b)) for i, j in at[(100 + t) * bound >= t * (low + high)].tolist() for a, b in [(nodes[i], nodes[j])] if first(rows[i][5], rows[j][5], pairs[i, j]) and survives(fine[i], fine[j], sizes[i] + sizes[j])])
 
     def run(batches):
         held, n = [], 0
-        for (_, x, y), members in grouped(batches, ["key", "x", "y"], ["node", "label", "own", "n", "point"]):
+        for (key, x, y), members in grouped(batches, ["key", "x", "y"], ["node", "label", "own", "n", "point", "seen"]):
             if x == y and len(members) <= LEAF:
-                held.append(members)
+                held.append((key, members))
                 n += len(members) * (len(members) - 1) // 2
                 if n > 20_000:
                     yield leaves(held)
@@ -393,7 +406,7 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
             tree, out = CountTree(vectors[right], sizes[right], t), set()
             for i in np.flatnonzero(sides == x).tolist():
                 for j in right[tree.search(vectors[i], int(sizes[i]))].tolist():
-                    if labels[i] != labels[j] and survives(fine[i], fine[j], sizes[i] + sizes[j]):
+                    if labels[i] != labels[j] and first(members[i][5], members[j][5], key) and survives(fine[i], fine[j], sizes[i] + sizes[j]):
                         out.add((int(min(nodes[i], nodes[j])), int(max(nodes[i], nodes[j]))))
             yield link_batch(sorted(out))
         if held:
