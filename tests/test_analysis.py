@@ -39,6 +39,12 @@ def test_python_checks(files):
     }
 
 
+def test_missing_packages(spark, files):
+    registry = spark.createDataFrame([("pypi", "flask", True), ("pypi", "requests", True), ("pypi", "sqlalchemy", False), ("npm", "express", True), ("npm", "hardhat", True)], "ecosystem string, name string, exists boolean")
+    got = {r.project_id: (r.packages, r.missing) for r in analysis.missing_density(files, registry).collect()}
+    assert got == {"shop": (3, 1), "token": (2, 0)}
+
+
 def test_analysis(files):
     got = {r.project_id: r for r in analysis.analyse(files).collect()}
     shop, token = got["shop"], got["token"]
