@@ -112,8 +112,16 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """Sums over all counts; the driver gets ``FREQUENT`` short tokens and one row for each class."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    short = counts.where(F.length("word") <= LONGEST)
-    top = short.orderBy((F.length("word") == 0).desc(), F.desc("c"), "word").limit(FREQUENT).select("word", "c").collect()
+    short = counts.where(F.length("word") <= LONGEST).withColumn("level", F.floor(F.log2("c") * 16))
+    # the lowest level of counts from which at most so many tokens are left; levels are a few hundred
+    least, left = 0, FREQUENT
+    for level, n in sorted(map(tuple, short.groupBy("level").agg(F.count("*")).collect()), reverse=True):
+        left -= n
+        if left < 0:
+            least = level + 1
+            break
+    top = short.where((F.col("level") >= least) | (F.length("word") == 0)).select("word", "c").collect()
+    top.sort(key=lambda r: (len(r[0]) > 0, -r[1], r[0]))
     words = [bytes(r[0]) for r in top]
     chosen = F.col("word").isin([bytearray(w) for w in words[:WORDS]]) if words else F.lit(False)
     tail = (F.crc32(F.substring("word", -3, 3)) % TAILS + WORDS).cast("int")
@@ -319,9 +327,10 @@ def known_part(docs: DataFrame, sent, model, ranges: int) -> DataFrame:
 
 
 def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFrame:
-    """``(row, n_known, base, score)`` of the tokens outside the frequent ones, summed per text and hash range.
+    """``(row, n_known, base, score)`` of the tokens outside the frequent ones, summed per text.
 
-    Counts and tokens meet by hash range; a range is sorted and searched as an array.
+    Counts and tokens meet by hash range; a range is sorted and searched as an array. The sums of each range
+    then meet by text, again as arrays of which one row travels for each pair of ranges.
     """
 
     def pack_counts(batches):
@@ -343,16 +352,27 @@ def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFr
                 at = np.minimum(np.searchsorted(table[:, 0], asked[:, 0]), len(table) - 1)
                 c = np.where(table[at, 0] == asked[:, 0], table[at, 1], 0).astype(float)
             row, owner = np.unique(asked[:, 1], return_inverse=True)
-            base = np.bincount(owner, weights=np.log10((c + 1) / (vocab.total + vocab.distinct + 1)))
-            score = np.bincount(owner, weights=np.log10(c + 1) - vocab.tail_log[asked[:, 2]])
-            n = np.bincount(owner, weights=c > 0).astype(np.int64)
+            out = np.empty((len(row), 4), dtype=np.int64)
+            out[:, 0] = row
+            out[:, 1] = np.bincount(owner, weights=c > 0)
+            out[:, 2] = np.bincount(owner, weights=np.log10((c + 1) / (vocab.total + vocab.distinct + 1))).view(np.int64)
+            out[:, 3] = np.bincount(owner, weights=np.log10(c + 1) - vocab.tail_log[asked[:, 2]]).view(np.int64)
+            at, data = packs(out, ranges)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["r", "pack"])
+
+    def add_up(batches):
+        for _, rows in grouped(batches, ["r"], ["pack"]):
+            x = np.concatenate([np.frombuffer(p[0], dtype=np.int64).reshape(-1, 4) for p in rows])
+            row, owner = np.unique(x[:, 0], return_inverse=True)
+            sums = [np.bincount(owner, weights=w) for w in (x[:, 1], np.ascontiguousarray(x[:, 2]).view(np.float64), np.ascontiguousarray(x[:, 3]).view(np.float64))]
             for at in range(0, len(row), 50_000):
                 s = slice(at, at + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(row[s]), pa.array(n[s]), pa.array(base[s]), pa.array(score[s])], ["row", "n_known", "base", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(row[s]), pa.array(sums[0][s].astype(np.int64)), pa.array(sums[1][s]), pa.array(sums[2][s])], ["row", "n_known", "base", "score"])
 
     asked = scores.where("r is not null").select("r", "pack")
     both = asked.unionByName(counts.select("h", "c").mapInArrow(pack_counts, "r int, pack binary"))
-    return both.repartition(ranges, "r").sortWithinPartitions("r").mapInArrow(look_up, "row long, n_known long, base double, score double")
+    by_range = lambda df: df.repartition(ranges, "r").sortWithinPartitions("r")
+    return by_range(by_range(both).mapInArrow(look_up, "r int, pack binary")).mapInArrow(add_up, "row long, n_known long, base double, score double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, seed: int = 11) -> DataFrame:
@@ -376,7 +396,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     ranges = max(1, -(-(vocab.total // 8) // SORT))
     scores = known_part(rows.withColumn("row", F.monotonically_increasing_id()), sent, model, ranges)
     own = scores.where("r is null").select("row", "id", "held_out", "n_tokens", "n_known", "base", "score")
-    rare = rare_part(scores, counts, sent, ranges).groupBy("row").agg(*[F.sum(c).alias(f"{c}2") for c in ("n_known", "base", "score")])
+    rare = rare_part(scores, counts, sent, ranges).select("row", *[F.col(c).alias(f"{c}2") for c in ("n_known", "base", "score")])
     plus = lambda c: F.col(c) + F.coalesce(F.col(f"{c}2"), F.lit(0))
     joined = own.join(rare, "row", "left")
     return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known").cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
