@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 
 import pytest
-from test_operators import brute_components, brute_counts
+from test_llm_operators import brute_components, brute_counts
 
 import corpus_pipeline
 from tallystone.llm import mixing
