@@ -40,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with the digests of ids and decoded text."""
-    return bpe_codec.bpe_encode(docs, read_file("word_bpe_49k.json")).drop("decoded")
+    return bpe_codec.bpe_encode(docs, read_file("word_bpe_49k.json"), memo=80_000).drop("decoded")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("mixture", mixture), ("encode", encode)]

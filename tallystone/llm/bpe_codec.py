@@ -338,9 +338,9 @@ class Codec:
 
 
 @functools.lru_cache(1)
-def worker_codec(source: str, path: str) -> Codec:
+def worker_codec(source: str, path: str, memo: int) -> Codec:
     """One codec per worker process: what it has met stays known from task to task."""
-    return Codec(WordBpe(source), Lexicon(path))
+    return Codec(WordBpe(source), Lexicon(path), memo)
 
 
 def frequent_words(docs: DataFrame, source: str, text_col: str, size: int, partial: int) -> list[str]:
@@ -384,11 +384,11 @@ def frequent_words(docs: DataFrame, source: str, text_col: str, size: int, parti
     return [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(size).select("word").collect()]
 
 
-def bpe_encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 30_000, partial: int = 8, texts_out: bool = True) -> DataFrame:
+def bpe_encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: str = "text", lexicon_size: int = 30_000, partial: int = 8, texts_out: bool = True, memo: int = 350_000) -> DataFrame:
     """Per row of ``docs``: id, ``n_tokens``, ``ids`` (decimal, joined by spaces) and ``decoded``, with their SHA-256 digests.
 
     ``source`` is the text of a ``tokenizers`` JSON file. ``texts_out=False`` leaves ``ids``
-    and ``decoded`` out and keeps the digests. A null text counts as empty: no ids, an empty
+    and ``decoded`` out and keeps the digests. ``memo`` bounds what a worker remembers (about 0.5 KB each). A null text counts as empty: no ids, an empty
     decoded text. Special tokens written in a text become their ids. Null ids and repeated
     rows stay; other columns are not read.
     """
@@ -399,7 +399,7 @@ def bpe_encode(docs: DataFrame, source: str, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         text, data = kept.value
-        codec = worker_codec(text, mapped_file(data, ".lexicon"))
+        codec = worker_codec(text, mapped_file(data, ".lexicon"), memo)
         for doc_ids, texts in rows_of(batches, [id_col, text_col], 128):
             got = codec.encode(texts)
             cols = [pa.array(doc_ids, pa.int64()), pa.array([g[0] for g in got], pa.int64())]

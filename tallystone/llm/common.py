@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: White space of the word rule, as a Java and Python regular expression class.
@@ -57,3 +60,11 @@ def rows_of(batches, columns: list[str], size: int = 512):
         for at in range(0, batch.num_rows, size):
             part = batch.slice(at, size)
             yield [part.column(part.schema.get_field_index(c)).to_pylist() for c in columns]
+    tidy()
+
+
+def tidy() -> None:
+    """Hand memory that a task has freed back to the system: workers live on, and several share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
