@@ -38,16 +38,16 @@ def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary:
     """``(s, label)``: 1 for drawn strings, 0 for identifiers met in the texts.
 
     The bound is ``n_random`` and ``n_ordinary`` strings. Identifiers are runs of letters,
-    digits, ``_`` and ``-`` of 6 or more characters with at most two digits, from the
-    documents whose hashed text is least, and the names in a few modules of Python.
+    digits, ``_`` and ``-`` of 6 or more characters with at most two digits, from
+    documents whose hashed text is divisible by a number that leaves about ``n_ordinary / 20`` of them, and the names in a few modules of Python.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("markov:"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     drawn = spark.range(n_random).select(F.when(F.col("id") % 4 < 2, b64).when(F.col("id") % 4 == 2, F.upper(F.translate(digest, "0189", "ghij"))).otherwise(digest).alias("s"), F.lit(1).alias("label"))
-    least = docs.select(text_col).where(F.length(text_col) > 0).orderBy(F.xxhash64(text_col)).limit(max(1, n_ordinary // 20))
-    words = least.select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z][A-Za-z0-9_-]{5,}"), 0)), 1, 200)).alias("s"))
-    words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]")).distinct().limit(n_ordinary).select("s", F.lit(0).alias("label"))
+    few = F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // max(1, n_ordinary // 20)))) == 0
+    words = docs.where((F.length(text_col) > 0) & few).select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z][A-Za-z0-9_-]{5,}"), 0)), 1, 200)).alias("s"))
+    words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]")).distinct().orderBy(F.xxhash64("s"), "s").limit(n_ordinary).select("s", F.lit(0).alias("label"))
     # names of the language's own library stand in where the texts hold few
     names = sorted({n.strip("_") for n in (*dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(os), *dir(math)) if len(n) > 5})
     given = spark.range(1).select(F.explode(F.split(F.lit(",".join(names)), ",")).alias("s"), F.lit(0).alias("label"))
