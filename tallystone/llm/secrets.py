@@ -22,8 +22,8 @@ KINDS = (
     ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
-#: A candidate of the Markov models: a run of token characters that holds a letter and a digit (bare numbers are no secrets).
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9+/_=-]{0,40}[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}"
+#: A candidate of the Markov models: every run of 16 or more token characters, also after a sign of assignment.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-"
 CLASSES = len(ALPHABET) + 1
 
@@ -35,23 +35,27 @@ def char_class(c: Column) -> Column:
 
 
 def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary: int) -> DataFrame:
-    """``(s, label)``: 1 for drawn strings, 0 for identifiers met in the texts.
+    """``(s, label)``: 1 for drawn strings, 0 for identifiers, paths, bare numbers and rules.
 
-    The bound is ``n_random`` and ``n_ordinary`` strings. Identifiers are runs of letters,
-    digits, ``_`` and ``-`` of 6 or more characters with at most two digits, from
-    documents whose hashed text is divisible by a number that leaves about ``n_ordinary / 20`` of them, and the names in a few modules of Python.
+    The bound is ``2 n_random`` and ``n_ordinary`` strings. Identifiers and paths are runs of token
+    characters of 6 to 15 with at most two digits (so no candidate trains the model that judges it), from
+    documents whose hashed text is divisible by a number that leaves about ``n_ordinary / 20`` of them, and the names in a few modules of Python,
+    also joined as paths. Bare numbers are drawn; rules are one sign repeated.
     """
     spark = docs.sparkSession
     digest = F.sha2(F.concat(F.lit("markov:"), F.col("id").cast("string")), 256)
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     drawn = spark.range(n_random).select(F.when(F.col("id") % 4 < 2, b64).when(F.col("id") % 4 == 2, F.upper(F.translate(digest, "0189", "ghij"))).otherwise(digest).alias("s"), F.lit(1).alias("label"))
     few = F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // max(1, n_ordinary // 20)))) == 0
-    words = docs.where((F.length(text_col) > 0) & few).select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z][A-Za-z0-9_-]{5,}"), 0)), 1, 200)).alias("s"))
-    words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]")).distinct().orderBy(F.xxhash64("s"), "s").limit(n_ordinary).select("s", F.lit(0).alias("label"))
+    words = docs.where((F.length(text_col) > 0) & few).select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9+/_-]{6,}"), 0)), 1, 200)).alias("s"))
+    words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]") & (F.length("s") < 16)).distinct().orderBy(F.xxhash64("s"), "s").limit(n_ordinary).select("s", F.lit(0).alias("label"))
     # names of the language's own library stand in where the texts hold few
     names = sorted({n.strip("_") for n in (*dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(os), *dir(math)) if len(n) > 5})
-    given = spark.range(1).select(F.explode(F.split(F.lit(",".join(names)), ",")).alias("s"), F.lit(0).alias("label"))
-    return drawn.unionByName(words).unionByName(given)
+    paths = ["/" + "/".join(names[i : i + 4]) for i in range(0, len(names), 4)]
+    rules = [c * 80 for c in "+-/_="] + [c * 40 for c in ALPHABET[:62]]
+    given = spark.range(1).select(F.explode(F.split(F.lit(",".join([*names, *paths, *rules])), ",")).alias("s"), F.lit(0).alias("label"))
+    numbers = spark.range(n_random).select(F.regexp_replace(digest, "[a-f]", "").alias("s"), F.lit(0).alias("label"))
+    return drawn.unionByName(words).unionByName(given).unionByName(numbers)
 
 
 def train_ratios(strings: DataFrame, backoff: float = 5.0) -> list[float]:

@@ -208,6 +208,19 @@ def test_secrets(spark, rows):
     assert clean.columns == df.columns and clean.where("doc_id = 50").first().text == "é use <|secret|> now"
 
 
+def test_secrets_after_a_sign_of_assignment_and_without_digits(spark):
+    r = random.Random(12)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = lambda n, size: "".join(r.choices(alphabet[:n], k=size))
+    docs = [(i, f"{name}={drawn(n, 24)} rest", "s") for i, (name, n) in enumerate([(name, n) for name in ("AUTH", "export AWS_KEY", "https://x.example/?sig") for n in (52, 64)] * 20)]
+    plain = ["0" * 20, "4111111111111111", "2024-01-02-2024-03-04", "/" * 30, "+" * 30, "-" * 30, "/usr/local/lib/python/site-packages", "internationalization", "MAX_CONNECTION_RETRY_COUNT", "a" * 20]
+    docs += [(1000 + i, f"name={p} {p}", "s") for i, p in enumerate(plain)]
+    found = {x.doc_id: [(s.kind, s.value) for s in x.spans] for x in secrets.find_secrets(frame(spark, docs)).collect()}
+    hits = sum(found[i] == [("markov", t.split("=", 1)[1].split()[0])] for i, t, _ in docs if i < 1000)
+    assert hits >= 0.95 * 120, hits
+    assert [p for i, p in enumerate(plain) if found[1000 + i]] == []
+
+
 # --- 6 and 10 ---------------------------------------------------------------------------------
 
 
