@@ -1,7 +1,8 @@
 """Substring deduplication over sliding spans of consecutive sentences.
 
-From each sentence of a text runs a span: the shortest run of at least ``min_sentences``
-sentences with ``min_words`` words, or that sentence alone if it has ``long_words`` words.
+From each sentence of a text runs a span, and to each runs one: the shortest run of at least ``min_sentences``
+sentences with ``min_words`` words, or that sentence alone if it has ``long_words`` words. So every sentence of a
+repeated passage lies in a span inside it. A text too short for any span is one itself.
 Spans are hashed and joined over the whole corpus. A span that occurs more than once is
 repeated; every occurrence but the first (by document id, then place) marks its sentences,
 and marked sentences are removed.
@@ -60,6 +61,21 @@ def spans(text: str, min_sentences: int, min_words: int, long_words: int) -> lis
         full -= size[i] > 0
         if end == i:
             end = i + 1
+    known = {(i, k) for _, i, k in out}
+    begin = have = full = 0  # the run is [begin, j]
+    for j in range(n):
+        have += size[j]
+        full += size[j] > 0
+        while have - size[begin] >= min_words and full - (size[begin] > 0) >= min_sentences:
+            have -= size[begin]
+            full -= size[begin] > 0
+            begin += 1
+        while begin < j and not size[begin]:
+            begin += 1
+        if size[j] and have >= min_words and full >= min_sentences and (begin, j + 1 - begin) not in known:
+            out.append((xxhash.xxh3_64_intdigest(whole[place[begin] : place[j + 1]]), begin, j + 1 - begin))
+    if not out and whole:
+        out.append((xxhash.xxh3_64_intdigest(whole), 0, n))
     return [(h - (1 << 64) if h >> 63 else h, i, k) for h, i, k in out]
 
 

@@ -86,6 +86,16 @@ def test_spans_by_brute_force(spark):
     assert got == expected and any(expected.values())
 
 
+def test_tails_and_short_texts_of_copies_go(spark):
+    tail = own(41) + " The end."
+    passage_ = passage(3) + " So it goes."
+    docs = [(1, tail, "s"), (2, tail, "s"), (3, "Only a few words.", "s"), (4, "only a  few words.", "s"), (5, "Other words.", "s"), (6, own(51) + " " + passage_ + " " + own(52), "s"), (7, own(61) + "\n" + passage_ + " " + own(62), "s")]
+    got = {r.doc_id: r for r in substring_dedup.dedup(frame(spark, docs)).collect()}
+    assert got[1].text == tail and got[2].text == "" and got[2].n_removed == got[2].n_sentences == 7
+    assert got[3].text == "Only a few words." and got[4].text == "" and got[5].text == "Other words."
+    assert got[6].text == docs[5][1] and got[7].text.split() == (own(61) + " " + own(62)).split()
+
+
 # --- 2 ----------------------------------------------------------------------------------------
 
 
