@@ -19,8 +19,8 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules."""
-    return line_quality.passing(docs)
+    """Documents that pass the rules, without frequent lines; ``n_chars`` follows the text."""
+    return line_quality.passing(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

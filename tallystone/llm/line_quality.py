@@ -107,16 +107,33 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     host = F.xxhash64(F.col("host").isNull(), F.col("host"))
     held = base.where(F.size("lines") > 0).select("row", "id", host.alias("hk"), "copy", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "id", "hk", "copy", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
     frequent = held.groupBy("hk", "line").agg(F.countDistinct("copy").alias("n"), F.min("id").alias("first")).where(F.col("n") > max_docs).select("hk", "line", "first")
-    gone = held.join(frequent, ["hk", "line"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("w").alias("w"))
+    gone = held.join(frequent, ["hk", "line"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("w").alias("w"), F.collect_set("line").alias("gone"))
     joined = base.drop("lines", "line_words", "copy", "host").join(gone, "row", "left")
     left = (F.col("n_words") - F.coalesce(F.col("w"), F.lit(0))).alias("n_words_left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(round(100 * max_repeat)) * F.col("n_words"))
     enough = (F.col("n_words_left") >= min_words) & (F.col("n_words_left") >= min_left * F.col("n_words"))
-    out = joined.select(*["key"] * with_key, F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left, failed.alias("base_failed"))
+    out = joined.select(*["key", "gone"] * with_key, F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", left, failed.alias("base_failed"))
     return out.withColumn("kept", ~F.col("base_failed") & enough)
 
 
+def without_lines(text: str, gone: set[int]) -> str:
+    """The text without the lines whose normalised form hashes into ``gone``."""
+    own = lambda line: signed(xxhash.xxh3_64_intdigest(b" ".join(line.encode().lower().split())))
+    return "\n".join(line for line in text.split("\n") if not (line.strip(WHITE) and own(line) in gone))
+
+
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """``docs`` without the rows that ``quality`` rejects; columns and texts stay as they are."""
-    kept = quality(docs, id_col, text_col, host_col, with_key=True, **limits).where("kept").select(F.col("key").alias("__key"))
-    return docs.withColumn("__key", F.xxhash64(id_col, host_col, text_col)).join(kept, "__key", "left_semi").drop("__key")
+    """``docs`` without the rows that ``quality`` rejects, their texts without frequent lines; other columns stay as they are."""
+    kept = quality(docs, id_col, text_col, host_col, with_key=True, **limits).where("kept").select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).dropDuplicates(["__key"])
+    columns = docs.columns
+
+    def cut(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                gone, texts = part.column(len(columns)).to_pylist(), part.column(columns.index(text_col)).to_pylist()
+                new = pa.array([without_lines(t, set(g)) if g and t else t for t, g in zip(texts, gone, strict=True)], pa.string())
+                yield pa.RecordBatch.from_arrays([new if c == text_col else part.column(i) for i, c in enumerate(columns)], columns)
+
+    joined = docs.withColumn("__key", F.xxhash64(id_col, host_col, text_col)).join(kept, "__key").select(*columns, "__gone")
+    return joined.mapInArrow(cut, docs.schema)

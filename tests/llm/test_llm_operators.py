@@ -188,6 +188,14 @@ def test_line_rules(spark, rows):
     assert passing.columns == frame(spark, docs).columns and passing.count() == sum(r.kept for r in got)
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    common = "the same  Line of many pages"
+    body = lambda i: "\n\n".join(" ".join(f"v{i}x{j}y{k}" for k in range(8)) for j in range(3))
+    docs = [(i, f"{common}\n{body(i)}", "host") for i in range(25)] + [(5, f"{common}\n{body(5)}", "host"), (99, f"{common}\n{body(99)}", "other")]
+    got = line_quality.passing(frame(spark, docs)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t if i in (0, 99) else body(i)) for i, t, _ in docs)
+
+
 # --- 5 ----------------------------------------------------------------------------------------
 
 BASE = (("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile("[0-9a-f]+"), 0, 24))
