@@ -400,6 +400,86 @@ def test_main_text(spark):
     assert all(r.n_chars == len(r.text) for r in got.values())
 
 
+def brute_importances(pages, gamma=0.9, prior=8.0):
+    """Importance of each (host, path hash) with text, by plain counting."""
+    facts = {}
+    for host, source in pages:
+        page = html_extract.Page(source)
+        facts[host, tuple(page.blocks)] = html_extract.features(page, host)
+    k, kk, x, shapes, texts = Counter(), Counter(), {}, {}, {}
+    for (host, _), own_ in facts.items():
+        for path, feature, weight, extra in own_:
+            k[host, path, feature, weight] += 1
+            kk[path, feature, weight] += 1
+            if weight == 0:
+                x[host, path] = (extra, feature)
+            elif weight < 0:
+                shapes.setdefault((host, path), Counter())[feature] += 1
+            else:
+                texts.setdefault((host, path), set()).add((feature, weight))
+    out = {}
+    for (host, path), own_ in texts.items():
+        p, up = x[host, path]
+        m, mm = k[host, path, up, 0], kk[path, up, 0]
+        w = sum(g * k[host, path, f, g] for f, g in own_)
+        one = 1 - sum(g * k[host, path, f, g] * math.log(k[host, path, f, g]) for f, g in own_) / w / math.log(m) if m > 1 else 1
+        two = 1 - sum(g * k[host, path, f, g] * math.log(kk[path, f, g]) for f, g in own_) / w / math.log(mm) if mm > 1 else 1
+        seen = shapes[host, up]
+        n = sum(seen.values())
+        shown = -sum(c / n * math.log(c / n, n) for c in seen.values()) if n > 1 else 1
+        e = math.log2(mm)
+        out[host, path] = (e * (gamma * max(0, min(one, two)) + (1 - gamma) * shown) + prior * p) / (e + prior)
+    return out
+
+
+def test_importances_by_brute_force_and_what_they_remove(spark):
+    r = random.Random(4)
+    some = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    ads = [some(6) for _ in range(4)]
+    pages = []
+    for h in range(5):
+        for i in range([2, 30, 40, 50, 60][h]):
+            lead = f"<section class=q{h}><p>All about site {h}</p></section>"
+            body = "".join(f"<p>{some(20)}</p>" for _ in range(r.randrange(1, 5)))
+            pages.append((f"h{h}.example", f"<body>{lead}<div class=x1>{r.choice(ads)}</div><div class=y{i}><h2>{some(4)}</h2>{body}</div><div class=z>h{h}.example {r.choice(ads)}</div></body>"))
+    pages += pages[:3]
+    df = spark.createDataFrame([(i, f"https://{h}/{i}", t, h) for i, (h, t) in enumerate(pages)], "page_id long, url string, html string, host string")
+    want = brute_importances(pages)
+    got = {(x.host, y.path): y.importance for x in html_extract.importances(df, 2.0, 0.9, 8.0).collect() for y in x.low}
+    assert got.keys() == want.keys() and all(math.isclose(got[x], want[x], abs_tol=1e-6) for x in want)
+    for x in html_extract.extract(df).collect():
+        host, source = pages[x.page_id]
+        page = html_extract.Page(source)
+        left = [(p, t) for p, t in page.blocks if want[host, p] >= 0.5]
+        assert x.text == "\n".join(t for _, t in left)
+    texts = "\n".join(x.text for x in html_extract.extract(df).collect())
+    assert not any(a in texts for a in ads)
+
+
+def test_no_name_voids_an_article(spark):
+    story = "<h1>Headline</h1><p>A story of some words.</p><p>And more of it.</p>"
+    whole = "Headline\nA story of some words.\nAnd more of it."
+    wraps = [
+        "<div class='content has-sidebar'>{}</div>", "<div class='site social-science'>{}</div>", "<article class='post comment-open'>{}</article>", "<article id='related-work'>{}</article>",
+        "<form id='aspnetForm'><div>{}</div></form>", "<body class='layout has-sidebar'>{}</body>", "<div class='page no-sidebar with-footer'>{}</div>", "<div class='post widget-area'><div class='content-header'>{}</div></div>",
+        "<div class='sidebar right'><article>{}</article></div>", "<main><div class=article-header>{}</div></main>",
+    ]
+    pages = [(i, f"https://w{i}.example/", w.format(story)) for i, w in enumerate(wraps)]
+    pages += [(50, "https://t.example/", "<h1>Title</h1><article><p>A</p></article><div class='story'>second part</div>"), (51, "https://u.example/", "<nav><a>x</a></nav><footer>y</footer><form>z<input></form>"), (52, None, "<article><p>a<section class='reader-comments'><p>me too</section></article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert [got[i] for i in range(len(wraps))] == [whole] * len(wraps)
+    assert got[50] == "Title\nA\nsecond part" and got[51] == "" and got[52] == "a"
+
+
+def test_an_article_of_many_copies_stays(spark):
+    pages = [(i, f"https://c{i}.example/", f"<nav>Home</nav><div class=box><p>{'the same article ' * 30}</p></div><footer>All rights {i % 5}</footer>") for i in range(300)]
+    pages += [(1000 + i, f"https://d{i}.example/", f"<nav>Home</nav><div class=box><p>{'own article ' * 20} {i}</p></div><footer>All rights</footer>") for i in range(30)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
+    assert all(got[i].startswith("the same article") and "\n" not in got[i] for i in range(300)) and all(got[1000 + i].startswith("own") for i in range(30))
+
+
 # --- all --------------------------------------------------------------------------------------
 
 
@@ -413,3 +493,4 @@ def test_empty_tables(spark):
     assert mixing.mix(none).count() == 0
     assert jaccard_join.jaccard_components(none).count() == 0
     assert lm_score.lm_scores(none).count() == 0
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
