@@ -1,18 +1,21 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts a class from the two before it: ``r = C1 x[w-1] + C2 x[w-2]`` and the
-score of class w is ``r . q[w] + b[w]``. The most frequent tokens are classes of their own;
-all others fall into classes by their last three bytes, within which a token has its
-add-one relative frequency. So every token has a normalised probability, met in training or not.
-
-Training is numpy, on all training texts: each task makes one pass of noise-contrastive
-estimation over its own, from common start values, and the tasks' parameters are averaged,
-weighted by tokens. Scoring takes the normaliser of every pair of context classes from
-batched matrix products.
+The model predicts a token from the two before it: ``r = C1 x[w-1] + C2 x[w-2]`` scores first a group of tokens,
+``r . t[g] + c[g]``, then a token in the group, ``r . q[w] + b[w]``; both normalisers are sums over all alternatives,
+from batched matrix products. The vocabulary grows with the corpus: about ``2 sqrt(N)`` tokens of N have parameters of
+their own. The most frequent are groups by themselves, the others share groups by rank, as many as each holds. Tokens
+beyond are grouped by their last three bytes and have their add-one relative frequency in the group. So every
+token has a normalised probability, met in training or not.
+
+Training is numpy, on all training texts, in synchronous rounds. Texts are dealt to rounds and shards by
+hash. In a round each shard starts from the same parameters and makes steps of noise-contrastive estimation; the
+parameters are averaged, each row weighted by how often the shard met it, and start the next round. Nothing
+of this follows the partitions of the table.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from itertools import repeat
 
@@ -25,26 +28,26 @@ from pyspark.sql import functions as F
 from .common import rows_of, staged
 from .jaccard_join import grouped
 
-#: Tokens that are classes, classes of other tokens, dimensions, noise samples of a batch, positions of a batch.
-WORDS, TAILS, DIM, NOISE, BATCH = 384, 128, 24, 64, 4096
-CLASSES = WORDS + TAILS
-START = CLASSES  # the context before a text
-#: Tokens whose counts every task gets (those above go through a join), and the longest of them in bytes.
+#: Tokens that are groups by themselves, groups of tokens without parameters, dimensions.
+TOP, TAILS, DIM = 256, 128, 24
+#: Most positions of a training step, noise groups of a step, noise tokens of a position, rounds, tokens of the shard of a small corpus.
+BATCH, NOISE, PEERS, ROUNDS, SHARD = 1024, 64, 4, 8, 250_000
+#: Tokens whose counts every task gets (those above go through a join); longer ones than so many bytes go by a digest.
 FREQUENT, LONGEST = 200_000, 64
 SORT = 1_000_000
+#: Packs that rows are cut into at once.
+FAN = 4096
 END = b""
 
 
-def tail_class(word: bytes) -> int:
-    return WORDS + zlib.crc32(word[-3:]) % TAILS
-
-
 def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of some texts, each text's followed by an end, and how many each has."""
+    """All tokens of some texts, each text's followed by an end, and how many each has. Long tokens stand as digests."""
     out: list[bytes] = []
     sizes = np.empty(len(texts), dtype=np.int64)
     for i, t in enumerate(texts):
         words = t.encode().lower().split() if t else []
+        if t and len(t) > LONGEST and max(map(len, words), default=0) > LONGEST:
+            words = [w if len(w) <= LONGEST else b"\x00" + xxhash.xxh3_128_digest(w) for w in words]
         out += words
         out.append(END)
         sizes[i] = len(words) + 1
@@ -79,232 +82,360 @@ def token_counts(docs: DataFrame) -> DataFrame:
     return staged(rows.groupBy("h", "word").agg(F.sum("c").alias("c")), "counts")
 
 
+def own_tokens(total: int) -> int:
+    """How many tokens have parameters of their own in a corpus of so many."""
+    return min(FREQUENT, TOP + math.ceil(2 * math.sqrt(total)))
+
+
+def batch_of(total: int) -> int:
+    """Positions of a training step: fewer in a small corpus, which else gave too few steps."""
+    return min(BATCH, max(64, total // 1000))
+
+
 class Vocabulary:
-    """What every task knows: the frequent tokens with counts and classes, and totals of the other classes."""
+    """What every task knows: the frequent tokens with counts, the units of the model, and totals of the tail groups.
+
+    A unit is a token with own parameters (by rank) or, after those, a tail. Groups are the ``TOP`` first
+    units, then runs of ``size`` units, then the tails.
+    """
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, tails: dict[int, tuple[int, int]]):
         self.words = words
         self.total, self.distinct = total, distinct
         c = np.array(counts, dtype=np.float64)
+        self.own = own = min(len(words), own_tokens(total))
         self.base = np.log10((c + 1) / (total + distinct + 1))
-        self.classes = np.array([i if i < WORDS else tail_class(w) for i, w in enumerate(words)], dtype=np.int64)
-        tail = np.zeros((CLASSES, 2))
+        self.units = np.array([i if i < own else self.tail(w) for i, w in enumerate(words)], dtype=np.int64)
+        tail = np.zeros((TAILS, 2))
         for k, v in tails.items():
             tail[k] = v
-        self.tail_log = np.log10(tail.sum(axis=1) + 1)  # of a tail class: log10(N_r + V_r + 1)
-        share = tail[:, 0].copy()
-        share[: min(WORDS, len(c))] = c[:WORDS]
-        self.share = (share + 1) / (share.sum() + CLASSES)  # of each class, add-one
-        self.within = np.where(np.arange(len(words)) < WORDS, 0.0, np.log10(c + 1) - self.tail_log[self.classes])
+        for w, n in zip(words[:own], counts[:own], strict=True):
+            tail[zlib.crc32(w[-3:]) % TAILS] -= (n, 1)
+        self.tail_log = np.log10(tail.sum(axis=1) + 1)  # log10(N_r + V_r + 1)
+        self.within = np.where(np.arange(len(words)) < own, 0.0, np.log10(c + 1) - self.tail_log[np.maximum(self.units - own, 0)])
+        self.size = max(1, math.ceil(math.sqrt(own)))
+        rank = np.arange(own)
+        runs = -(-max(0, own - TOP) // self.size)
+        self.first_tail = min(own, TOP) + runs
+        self.group = np.concatenate([np.where(rank < TOP, rank, TOP + (rank - TOP) // self.size), self.first_tail + np.arange(TAILS)]).astype(np.int64)
+        self.groups = self.first_tail + TAILS
+        share = np.concatenate([c[:own], np.maximum(0, tail[:, 0])]) + 1
+        self.group_share = np.bincount(self.group, weights=share, minlength=self.groups)
+        self.unit_share = share[:own] / self.group_share[self.group[:own]]  # of a unit in its group
+        self.group_share /= self.group_share.sum()
         self.number: dict[bytes, int] = {}
 
+    def tail(self, word: bytes) -> int:
+        return self.own + zlib.crc32(word[-3:]) % TAILS
+
+    @property
+    def start(self) -> int:
+        """The context before a text."""
+        return self.own + TAILS
+
     def indexed(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number among the frequent tokens (-1: none) and class of each token; places of the others."""
+        """Number among the frequent tokens (-1: none) and unit of each token; places of the others."""
         if not self.number:
             self.number = {w: i for i, w in enumerate(self.words)}
         idx = np.fromiter(map(self.number.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
         rare = np.flatnonzero(idx < 0)
-        classes = self.classes[idx] if len(self.words) else np.zeros(len(idx), dtype=np.int64)
-        classes[rare] = [tail_class(tokens[i]) for i in rare.tolist()]
-        return idx, classes, rare
+        units = self.units[idx] if len(self.words) else np.zeros(len(idx), dtype=np.int64)
+        units[rare] = [self.tail(tokens[i]) for i in rare.tolist()]
+        return idx, units, rare
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """Sums over all counts; the driver gets ``FREQUENT`` short tokens and one row for each class."""
+    """Sums over all counts; the driver gets ``FREQUENT`` tokens and one row for each tail."""
     total, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    short = counts.where(F.length("word") <= LONGEST).withColumn("level", F.floor(F.log2("c") * 16))
+    levels = counts.withColumn("level", F.floor(F.log2("c") * 16))
     # the lowest level of counts from which at most so many tokens are left; levels are a few hundred
     least, left = 0, FREQUENT
-    for level, n in sorted(map(tuple, short.groupBy("level").agg(F.count("*")).collect()), reverse=True):
+    for level, n in sorted(map(tuple, levels.groupBy("level").agg(F.count("*")).collect()), reverse=True):
         left -= n
         if left < 0:
             least = level + 1
             break
-    top = short.where((F.col("level") >= least) | (F.length("word") == 0)).select("word", "c").collect()
+    top = levels.where((F.col("level") >= least) | (F.length("word") == 0)).select("word", "c").collect()
     top.sort(key=lambda r: (len(r[0]) > 0, -r[1], r[0]))
-    words = [bytes(r[0]) for r in top]
-    chosen = F.col("word").isin([bytearray(w) for w in words[:WORDS]]) if words else F.lit(False)
-    tail = (F.crc32(F.substring("word", -3, 3)) % TAILS + WORDS).cast("int")
-    tails = {r[0]: (r[1], r[2]) for r in counts.where(~chosen).groupBy(tail.alias("r")).agg(F.sum("c"), F.count("*")).collect()}
-    return Vocabulary(words, [r[1] for r in top], total or 0, distinct, tails)
+    tail = (F.crc32(F.substring("word", -3, 3)) % TAILS).cast("int")
+    tails = {r[0]: (r[1], r[2]) for r in counts.groupBy(tail.alias("r")).agg(F.sum("c"), F.count("*")).collect()}
+    return Vocabulary([bytes(r[0]) for r in top], [r[1] for r in top], total or 0, distinct, tails)
 
 
 class LogBilinear:
-    """Parameters in one flat array: x (contexts), q (targets), C1, C2, b."""
+    """Parameters as rows: x (contexts), q (units, bias last), t (groups, bias last), c (C1 over C2), each with one Adagrad sum a row.
+
+    ``met`` counts for each row in how many steps or samples it took part since the start of the round.
+    """
 
-    def __init__(self, flat: np.ndarray):
-        self.flat = flat
-        self.x, self.q, self.c1, self.c2, self.b = self.parts(flat)
+    def __init__(self, vocab: Vocabulary, rows: list[np.ndarray], sums: list[np.ndarray]):
+        self.v, self.rows, self.sums = vocab, rows, sums
+        self.met = [np.zeros(len(r), dtype=np.float32) for r in rows]
+        self.x, self.q, self.t, self.c = rows
 
     @staticmethod
-    def parts(flat: np.ndarray) -> list[np.ndarray]:
-        out, at = [], 0
-        for shape in ((CLASSES + 1, DIM), (CLASSES, DIM), (DIM, DIM), (DIM, DIM), (CLASSES,)):
-            n = int(np.prod(shape))
-            out.append(flat[at : at + n].reshape(shape))
-            at += n
-        return out
+    def shapes(vocab: Vocabulary) -> list[tuple[int, int]]:
+        return [(vocab.start + 1, DIM), (vocab.own, DIM + 1), (vocab.groups, DIM + 1), (2 * DIM, DIM)]
 
     @classmethod
-    def start(cls, share: np.ndarray, seed: int) -> LogBilinear:
-        rng = np.random.default_rng(seed)
-        sizes = (CLASSES + 1) * DIM + CLASSES * DIM
-        eye = np.eye(DIM).ravel()
-        flat = np.concatenate([rng.normal(0, 0.1, sizes), eye, eye * 0.5, np.log(share)])
-        return cls(flat.astype(np.float32))
-
-    def train(self, share: np.ndarray, seed: int):
-        """A coroutine: ``send((w, p1, p2))`` makes one step of Adam on the contrastive objective."""
+    def begin(cls, vocab: Vocabulary, seed: int) -> LogBilinear:
         rng = np.random.default_rng(seed)
-        noise_log = np.log(NOISE * share).astype(np.float32)
-        cum = np.cumsum(share)
-        m, v, step = np.zeros_like(self.flat), np.zeros_like(self.flat), 0
+        rows = [rng.normal(0, 0.1, shape).astype(np.float32) for shape in cls.shapes(vocab)]
+        rows[1][:, DIM] = np.log(vocab.unit_share)
+        rows[2][:, DIM] = np.log(vocab.group_share)
+        rows[3][:] = np.concatenate([np.eye(DIM), 0.5 * np.eye(DIM)])
+        return cls(vocab, rows, [np.full(len(r), 1e-3, dtype=np.float32) for r in rows])
+
+    def packed(self) -> np.ndarray:
+        """All rows as one array, each row with its sum and followed by what it met, rows and sums times that."""
+        return np.concatenate([np.concatenate([np.column_stack([r, s]) * m[:, None], m[:, None]], axis=1).ravel() for r, s, m in zip(self.rows, self.sums, self.met, strict=True)])
+
+    def averaged(self, packed: np.ndarray) -> LogBilinear:
+        """The model of rows averaged by what they met; rows that none met stay."""
+        rows, sums, at = [], [], 0
+        for r, s in zip(self.rows, self.sums, strict=True):
+            part = packed[at : at + len(r) * (r.shape[1] + 2)].reshape(len(r), -1)
+            at += part.size
+            m = part[:, -1:]
+            mean = np.where(m > 0, part[:, :-1] / np.maximum(m, 1e-30), np.column_stack([r, s]))
+            rows.append(mean[:, :-1].astype(np.float32))
+            sums.append(mean[:, -1].astype(np.float32))
+        return LogBilinear(self.v, rows, sums)
+
+    def update(self, which: int, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
+        """Adagrad over the rows ``at``, some of which recur: gradients are sorted by row and summed in runs."""
+        order = np.argsort(at, kind="stable")
+        where = at[order]
+        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        g = np.add.reduceat(grads[order], cuts, axis=0)
+        u = where[cuts]
+        self.met[which][u] += np.diff(np.append(cuts, len(where)))
+        self.sums[which][u] += (g * g).mean(axis=1)
+        self.rows[which][u] += rate * g / np.sqrt(self.sums[which][u])[:, None]
+
+    def train(self, seed: int, rate: float):
+        """A coroutine: ``send((w, p1, p2))`` makes one step on the contrastive objective of both levels."""
+        v, rng = self.v, np.random.default_rng(seed)
+        cum = np.cumsum(v.group_share)
+        noise_log = np.log(NOISE * v.group_share).astype(np.float32)
+        inner = np.cumsum(v.unit_share)  # units of a group lie between whole numbers, in the order of rank
+        ahead = np.concatenate([[0.0], inner])
+        peer_log = np.log(PEERS * v.unit_share).astype(np.float32)
+        first = np.searchsorted(v.group[: v.own], np.arange(v.groups))  # first unit of each group
         while True:
             w, p1, p2 = yield
-            n = len(w)
-            z = np.minimum(np.searchsorted(cum, rng.random(NOISE)), CLASSES - 1)
             x1, x2 = self.x[p1], self.x[p2]
-            r = x1 @ self.c1.T + x2 @ self.c2.T
-            qw, qz = self.q[w], self.q[z]
-            up = 1 / (1 + np.exp(np.minimum((r * qw).sum(axis=1) + self.b[w] - noise_log[w], 30)))
-            down = -1 / (1 + np.exp(-np.maximum(r @ qz.T + (self.b[z] - noise_log[z]), -30)))
-            grad = np.zeros_like(self.flat)
-            gx, gq, g1, g2, gb = self.parts(grad)
-            dr = up[:, None] * qw + down @ qz
-            scatter(gq, w, up[:, None] * r)
-            np.add.at(gq, z, down.T @ r)
-            gb += np.bincount(w, weights=up, minlength=CLASSES)
-            np.add.at(gb, z, down.sum(axis=0))
-            g1 += dr.T @ x1
-            g2 += dr.T @ x2
-            scatter(gx, p1, dr @ self.c1)
-            scatter(gx, p2, dr @ self.c2)
-            grad /= n
-            step += 1
-            m += 0.1 * (grad - m)
-            v += 0.005 * (grad * grad - v)
-            rate = 0.02 / (1 + step / 400)
-            self.flat += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.995**step)) + 1e-6)
-
-    def normalisers(self) -> np.ndarray:
-        """log of the sum of exp scores for each pair (before, before that) of context classes."""
-        one, two = self.x @ self.c1.T, self.x @ self.c2.T
-        out = np.empty((CLASSES + 1, CLASSES + 1), dtype=np.float64)
-        for i in range(CLASSES + 1):
-            s = (one[i] + two) @ self.q.T + self.b
-            top = s.max(axis=1, keepdims=True)
-            out[i] = (np.log(np.exp(s - top).sum(axis=1, keepdims=True)) + top)[:, 0]
+            r = x1 @ self.c[:DIM] + x2 @ self.c[DIM:]
+            r1 = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
+            g = v.group[w]
+            z = np.minimum(np.searchsorted(cum, rng.random(NOISE)), v.groups - 1)
+            tg, tz = self.t[g], self.t[z]
+            up = 1 / (1 + np.exp(np.minimum((r1 * tg).sum(axis=1) - noise_log[g], 30)))
+            down = -1 / (1 + np.exp(-np.maximum(r1 @ tz.T - noise_log[z], -30)))
+            dr = up[:, None] * tg[:, :DIM] + down @ tz[:, :DIM]
+            self.update(2, np.concatenate([g, z]), np.concatenate([up[:, None] * r1, down.T @ r1]), rate)
+            inside = np.flatnonzero((w >= TOP) & (w < v.own))
+            if len(inside):
+                wi, ri = w[inside], r1[inside]
+                low = ahead[first[g[inside]]]
+                peers = np.searchsorted(inner, low[:, None] + rng.random((len(wi), PEERS)))
+                peers = np.clip(peers, first[g[inside]][:, None], np.minimum(first[g[inside]] + v.size, v.own)[:, None] - 1)
+                qw, qp = self.q[wi], self.q[peers]
+                up = 1 / (1 + np.exp(np.minimum((ri * qw).sum(axis=1) - peer_log[wi], 30)))
+                down = -1 / (1 + np.exp(-np.maximum(np.einsum("nd,njd->nj", ri, qp) - peer_log[peers], -30)))
+                dr[inside] += up[:, None] * qw[:, :DIM] + np.einsum("nj,njd->nd", down, qp[:, :, :DIM])
+                self.update(1, np.concatenate([wi, peers.ravel()]), np.concatenate([up[:, None] * ri, (down[:, :, None] * ri[:, None, :]).reshape(-1, DIM + 1)]), rate)
+            dc = np.concatenate([x1.T @ dr, x2.T @ dr])
+            self.update(0, np.concatenate([p1, p2]), np.concatenate([dr @ self.c[:DIM].T, dr @ self.c[DIM:].T]), rate)
+            self.update(3, np.arange(2 * DIM), dc, rate)
+
+    def log_probs(self, w: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of units (for a tail: of all its tokens together), normalised over all alternatives of both levels."""
+        v, out = self.v, np.empty(len(w))
+        one, two, t, c = self.x @ self.c[:DIM], self.x @ self.c[DIM:], np.ascontiguousarray(self.t[:, :DIM].T), self.t[:, DIM]
+        for at in range(0, len(w), 65_536):
+            s = slice(at, at + 65_536)
+            pairs, place = np.unique(p1[s] * (v.start + 1) + p2[s], return_inverse=True)
+            r = one[pairs // (v.start + 1)] + two[pairs % (v.start + 1)]
+            norm = np.concatenate([log_sum(r[i : i + 512] @ t + c) for i in range(0, len(r), 512)])
+            g = v.group[w[s]]
+            out[s] = (r[place] * self.t[g, :DIM]).sum(axis=1) + c[g] - norm[place]
+            inside = np.flatnonzero((w[s] >= TOP) & (w[s] < v.own))
+            inside = inside[np.argsort(g[inside], kind="stable")]
+            cuts = np.flatnonzero(np.diff(g[inside], prepend=-1, append=-1)) if len(inside) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                i = inside[a:b]
+                low = TOP + (g[i[0]] - TOP) * v.size
+                q = self.q[low : min(low + v.size, v.own)]
+                scores = r[place[i]] @ q[:, :DIM].T + q[:, DIM]
+                out[at + i] += scores[np.arange(len(i)), w[at + i] - low] - log_sum(scores)
         return out
 
 
-def scatter(out: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Add rows at places, some of which recur: rows are sorted by place and summed in runs."""
-    order = np.argsort(at.astype(np.int16), kind="stable")
-    where = at[order]
-    cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-    out[where[cuts]] += np.add.reduceat(rows[order], cuts, axis=0)
+def log_sum(scores: np.ndarray) -> np.ndarray:
+    """log of the sum of exp along rows; overwrites its argument."""
+    top = scores.max(axis=1)
+    scores -= top[:, None]
+    np.exp(scores, out=scores)
+    return np.log(scores @ np.ones(scores.shape[1], dtype=scores.dtype)) + top
 
 
-def contexts(classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class before each token and the one before that, ``START`` before a text."""
+def contexts(units: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The unit before each token and the one before that, ``start`` before a text."""
     starts = np.cumsum(sizes) - sizes
-    p1 = np.concatenate([[START], classes[:-1]])
-    p1[starts] = START
-    p2 = np.concatenate([[START], p1[:-1]])
-    p2[starts] = START
+    p1 = np.concatenate([[start], units[:-1]])
+    p1[starts] = start
+    p2 = np.concatenate([[start], p1[:-1]])
+    p2[starts] = start
     return p1, p2
 
 
-def trained(docs: DataFrame, sent, seed: int, fold: int) -> np.ndarray:
-    """Parameters averaged over the tasks. They meet in ``fold`` tasks that hold two arrays each, then on the driver."""
-    begin = LogBilinear.start(sent.value.share, seed).flat
+def dealt(docs: DataFrame, sent, shards: int) -> DataFrame:
+    """The training texts as units, dealt to rounds and shards by the hash of the row: a table in the shared folder, sorted by round."""
 
     def run(batches):
-        model, vocab = LogBilinear(begin.copy()), sent.value
-        steps, seen = model.train(vocab.share, seed + 1), 0
-        next(steps)
-        held: list[tuple] = []
-        for (texts,) in rows_of(batches, ["t"], 256):
+        for keys, texts in rows_of(batches, ["key", "t"], 256):
             words, sizes = tokens_of(texts)
-            classes = vocab.indexed(words)[1]
-            held.append((classes, *contexts(classes, sizes)))
-            n = sum(len(h[0]) for h in held)
-            if n >= 8 * BATCH:
-                seen += feed(steps, held, seed + seen)
-        if held:
-            seen += feed(steps, held, seed + seen)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([model.flat.tobytes()], pa.binary())], ["n", "flat"])
-
-    def average(batches):
-        total, sum_ = 0, np.zeros(len(begin))
-        for counts, flats in rows_of(batches, ["n", "flat"], 16):
-            for n, f in zip(counts, flats, strict=True):
-                total += n
-                sum_ += n * np.frombuffer(f, dtype=np.float32)
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64()), pa.array([sum_.tobytes()], pa.binary())], ["n", "flat"])
-
-    schema = "n long, flat binary"
-    local = docs.where(~F.col("held_out")).select("t").mapInArrow(run, schema)
-    parts = local.repartition(fold).mapInArrow(average, schema).collect()
-    total = sum(r[0] for r in parts)
-    return (sum(np.frombuffer(r[1]) for r in parts) / total).astype(np.float32) if total else begin
-
-
-def feed(steps, held: list[tuple], seed: int) -> int:
+            units = np.split(sent.value.indexed(words)[1].astype(np.int32), np.cumsum(sizes)[:-1]) if texts else []
+            slots = [k % (ROUNDS * shards) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array([x % ROUNDS for x in slots], pa.int32()), pa.array([x // ROUNDS for x in slots], pa.int32()), pa.array(keys, pa.int64()), pa.array([u.tobytes() for u in units], pa.binary())], ["round", "shard", "key", "units"])
+
+    rows = docs.where(~F.col("held_out")).select(F.xxhash64("id", "t").alias("key"), "t").mapInArrow(run, "round int, shard int, key long, units binary")
+    return staged(rows.sortWithinPartitions("round"), "units")
+
+
+def shards_of(total: int) -> int:
+    """Shards of a round: their number grows as the root of the corpus, as the parameters do, so what is averaged grows in proportion."""
+    return max(1, round(math.sqrt(total / ROUNDS / SHARD)))
+
+
+def trained(docs: DataFrame, sent, seed: int) -> LogBilinear:
+    """The model after all rounds. A round's parameters meet in a few tasks, then on the driver: two arrays of bounded size."""
+    vocab = sent.value
+    model, shards = LogBilinear.begin(vocab, seed), shards_of(vocab.total)
+    table, sc = dealt(docs, sent, shards), docs.sparkSession.sparkContext
+    for number in range(ROUNDS):
+        given = sc.broadcast((model.rows, model.sums))
+        rate = 0.12 * (1 - number / (ROUNDS + 2))
+
+        def run(batches, given=given, number=number, rate=rate):
+            vocab, last, local, steps, held = sent.value, None, None, None, []
+            batch = batch_of(vocab.total)
+
+            def done():
+                if held:
+                    feed(steps, held, seed + number, batch)
+                return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([local.packed().tobytes()], pa.large_binary())], ["shard", "flat"])
+
+            for shard_ids, packs_ in rows_of(batches, ["shard", "units"], 256):
+                for shard, pack in zip(shard_ids, packs_, strict=True):
+                    if shard != last:
+                        if last is not None:
+                            yield done()
+                        last, held = shard, []
+                        rows, sums = given.value
+                        local = LogBilinear(vocab, [r.copy() for r in rows], [s.copy() for s in sums])
+                        steps = local.train(seed + 1000 * number + shard, rate)
+                        next(steps)
+                    units = np.frombuffer(pack, dtype=np.int32).astype(np.int64)
+                    held.append((units, *contexts(units, np.array([len(units)]), vocab.start)))
+                    if sum(len(h[0]) for h in held) >= 16 * BATCH:
+                        feed(steps, held, seed + number, batch)
+            if last is not None:
+                yield done()
+
+        def add(batches):
+            total, low = None, None
+            for ids, flats in rows_of(batches, ["shard", "flat"], 1):
+                part = np.frombuffer(flats[0], dtype=np.float32).astype(np.float64)
+                total, low = (part, ids[0]) if total is None else (total + part, min(low, ids[0]))
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.large_binary())], ["shard", "flat"])
+
+        schema = "shard int, flat binary"
+        mine = table.where(F.col("round") == number).select("shard", "key", "units")
+        found = mine.repartition(shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, schema)
+        for fold in ([math.ceil(math.sqrt(shards))] if shards > 8 else []) + [2]:
+            found = found.withColumn("to", F.col("shard") % fold).repartition(fold, "to").sortWithinPartitions("to", "shard").drop("to").mapInArrow(add, schema)
+        parts = sorted(found.collect(), key=lambda r: r[0])
+        if parts:
+            model = model.averaged(sum(np.frombuffer(r[1], dtype=np.float32).astype(np.float64) for r in parts))
+        given.destroy()
+    return model
+
+
+def feed(steps, held: list[tuple], seed: int, batch: int) -> None:
     """Steps over the held positions in random order; a batch mixes texts."""
     w, p1, p2 = (np.concatenate(x) for x in zip(*held, strict=True))
     held.clear()
-    order = np.random.default_rng(seed).permutation(len(w))
-    for at in range(0, len(w), BATCH):
-        o = order[at : at + BATCH]
+    order = np.random.default_rng(seed + len(w)).permutation(len(w))
+    for at in range(0, len(w), batch):
+        o = order[at : at + batch]
         steps.send((w[o], p1[o], p2[o]))
-    return len(w)
 
 
 SCORES = "r int, pack binary, row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
 
 
-def packs(rows: np.ndarray, ranges: int) -> tuple[list[int], list[bytes]]:
-    """Rows of 64-bit numbers cut by the range of the first."""
-    where = (rows[:, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64)
+def packs(rows: np.ndarray, ranges: int, step: int = 1) -> tuple[list[int], list[bytes]]:
+    """Rows of 64-bit numbers cut by the range of the first; ``step`` ranges together are one pack."""
+    where = (rows[:, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64) // step
     order = np.argsort(where, kind="stable")
     rows, where = rows[order], where[order]
-    cuts = np.searchsorted(where, np.arange(ranges + 1))
-    at = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
-    return at, [rows[cuts[r] : cuts[r + 1]].tobytes() for r in at]
+    at, cuts = np.unique(where, return_index=True)
+    return (at * step).tolist(), [part.tobytes() for part in np.split(rows, cuts[1:])] if len(rows) else []
+
+
+def by_range(df: DataFrame, ranges: int, width: int) -> DataFrame:
+    """Packs ``(r, pack)`` dealt to their ranges and sorted. Beyond ``FAN`` ranges packs of several are dealt first and cut anew, so that
+    none gets tiny."""
+    if ranges > FAN:
+        step = -(-ranges // FAN)
+
+        def cut(batches):
+            held, size = [], 0
+            for (data,) in rows_of(batches, ["pack"]):
+                held += [np.frombuffer(d, dtype=np.int64).reshape(-1, width) for d in data]
+                size += sum(map(len, data)) // 8 // width
+                if size > 500_000:
+                    yield pack_batch(np.concatenate(held), ranges)
+                    held, size = [], 0
+            if held:
+                yield pack_batch(np.concatenate(held), ranges)
+
+        df = df.repartition(-(-ranges // step), "r").mapInArrow(cut, "r int, pack binary")
+    return df.repartition(ranges, "r").sortWithinPartitions("r")
+
+
+def pack_batch(rows: np.ndarray, ranges: int, step: int = 1) -> pa.RecordBatch:
+    at, data = packs(rows, ranges, step)
+    return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["r", "pack"])
 
 
 def known_part(docs: DataFrame, sent, model, ranges: int) -> DataFrame:
-    """Per text: what frequent tokens and the model give (``row`` rows), and packs of (hash, row, tail class) of the other tokens."""
+    """Per text: what frequent tokens and the model give (``row`` rows), and packs of (hash, row, tail) of the other tokens."""
+
+    step = -(-ranges // FAN)
 
     def run(batches):
-        vocab, lbl = sent.value, LogBilinear(np.array(model.value))
-        norm, names = lbl.normalisers(), [x.split()[0] for x in SCORES.split(", ")]
-        one, two = lbl.x @ lbl.c1.T, lbl.x @ lbl.c2.T
+        vocab, lbl = sent.value, LogBilinear(sent.value, *model.value)
+        names = [x.split()[0] for x in SCORES.split(", ")]
         rare_rows: list[np.ndarray] = []
 
         def row_batch(cols, n):
             return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *cols], names)
 
-        def pack_batch():
-            at, data = packs(np.concatenate(rare_rows), ranges)
+        def rare_batch():
+            at, data = packs(np.concatenate(rare_rows), ranges, step)
             rare_rows.clear()
             n = len(at)
             return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
 
         for keys, ids, held, texts in rows_of(batches, ["row", "id", "held_out", "t"], 256):
             words, sizes = tokens_of(texts)
-            idx, classes, rare = vocab.indexed(words)
-            p1, p2 = contexts(classes, sizes)
+            idx, units, rare = vocab.indexed(words)
             owner = np.repeat(np.arange(len(texts)), sizes)
-            log10 = np.empty(len(words))
-            for at in range(0, len(words), 100_000):
-                s = slice(at, at + 100_000)
-                w = classes[s]
-                log10[s] = ((one[p1[s]] + two[p2[s]]) * lbl.q[w]).sum(axis=1) + lbl.b[w] - norm[p1[s], p2[s]]
-            log10 /= np.log(10)
+            log10 = lbl.log_probs(units, *contexts(units, sizes, vocab.start)) / np.log(10)
             known = idx >= 0
             freq = idx[known]
             log10[known] += vocab.within[freq]
@@ -316,12 +447,12 @@ def known_part(docs: DataFrame, sent, model, ranges: int) -> DataFrame:
                 rows = np.empty((len(rare), 3), dtype=np.int64)
                 rows[:, 0] = [signed(xxhash.xxh3_64_intdigest(words[i])) for i in rare.tolist()]
                 rows[:, 1] = np.array(keys, dtype=np.int64)[owner[rare]]
-                rows[:, 2] = classes[rare]
+                rows[:, 2] = units[rare] - vocab.own
                 rare_rows.append(rows)
                 if sum(map(len, rare_rows)) > 400_000:
-                    yield pack_batch()
+                    yield rare_batch()
         if rare_rows:
-            yield pack_batch()
+            yield rare_batch()
 
     return staged(docs.select("row", "id", "held_out", "t").mapInArrow(run, SCORES), "scores")
 
@@ -333,11 +464,12 @@ def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFr
     then meet by text, again as arrays of which one row travels for each pair of ranges.
     """
 
+    step = -(-ranges // FAN)
+
     def pack_counts(batches):
         for hashes, numbers in rows_of(batches, ["h", "c"], 200_000):
             if hashes:
-                at, data = packs(np.array([hashes, numbers, [-1] * len(hashes)], dtype=np.int64).T.copy(), ranges)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["r", "pack"])
+                yield pack_batch(np.array([hashes, numbers, [-1] * len(hashes)], dtype=np.int64).T.copy(), ranges, step)
 
     def look_up(batches):
         vocab = sent.value
@@ -357,8 +489,7 @@ def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFr
             out[:, 1] = np.bincount(owner, weights=c > 0)
             out[:, 2] = np.bincount(owner, weights=np.log10((c + 1) / (vocab.total + vocab.distinct + 1))).view(np.int64)
             out[:, 3] = np.bincount(owner, weights=np.log10(c + 1) - vocab.tail_log[asked[:, 2]]).view(np.int64)
-            at, data = packs(out, ranges)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["r", "pack"])
+            yield pack_batch(out, ranges, step)
 
     def add_up(batches):
         for _, rows in grouped(batches, ["r"], ["pack"]):
@@ -371,8 +502,8 @@ def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFr
 
     asked = scores.where("r is not null").select("r", "pack")
     both = asked.unionByName(counts.select("h", "c").mapInArrow(pack_counts, "r int, pack binary"))
-    by_range = lambda df: df.repartition(ranges, "r").sortWithinPartitions("r")
-    return by_range(by_range(both).mapInArrow(look_up, "r int, pack binary")).mapInArrow(add_up, "row long, n_known long, base double, score double")
+    sums = by_range(both, ranges, 3).mapInArrow(look_up, "r int, pack binary")
+    return by_range(sums, ranges, 4).mapInArrow(add_up, "row long, n_known long, base double, score double")
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, seed: int = 11) -> DataFrame:
@@ -383,8 +514,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     empty text is its end token alone. Repeated rows each get a result; with no training rows all counts are 0.
     Other columns are not read.
 
-    Scale: three passes over the texts (count, train, score). What tasks share is bounded: 200,000 tokens of at
-    most 64 bytes and the parameters. All other tokens are looked up by hash range.
+    The same rows give the same model, however they are partitioned.
+
+    Scale: three passes over the texts (count, deal, score) and eight over the dealt units. What tasks share is bounded: 200,000 tokens of
+    at most 64 bytes (longer ones go by a digest of 17) and the parameters of at most as many. All other tokens are looked up by hash range.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), held_out.alias("held_out"))
@@ -392,7 +525,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = token_counts(rows)
     vocab = vocabulary(counts)
     sent = sc.broadcast(vocab)
-    model = sc.broadcast(trained(rows, sent, seed, 4))
+    found = trained(rows, sent, seed)
+    model = sc.broadcast((found.rows, found.sums))
     ranges = max(1, -(-(vocab.total // 8) // SORT))
     scores = known_part(rows.withColumn("row", F.monotonically_increasing_id()), sent, model, ranges)
     own = scores.where("r is null").select("row", "id", "held_out", "n_tokens", "n_known", "base", "score")

@@ -116,13 +116,45 @@ def test_language_model_is_normalised_and_beats_unigrams_on_held_out_texts(spark
     assert len(held) > 50 and sum(x.score for x in held) > sum(x.base_score for x in held)
 
 
-def test_class_probabilities_sum_to_one():
-    share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
-    model = lm_score.LogBilinear.start(share, 3)
-    norm = model.normalisers()
-    for p1, p2 in ((0, 1), (lm_score.START, lm_score.START), (500, 7)):
-        s = (model.x[p1] @ model.c1.T + model.x[p2] @ model.c2.T) @ model.q.T + model.b
-        assert math.isclose(float(np.exp(s - norm[p1, p2]).sum()), 1, rel_tol=1e-4)
+def test_probabilities_of_both_levels_sum_to_one():
+    counts = [50] + sorted((5 + 3000 // (i + 1) for i in range(420)), reverse=True)
+    words_ = [b""] + [f"w{i}".encode() for i in range(420)]
+    tails: dict = {}
+    for w, c in [*zip(words_, counts, strict=True), *((f"rare{i}".encode(), 1) for i in range(900))]:
+        k = zlib.crc32(w[-3:]) % lm_score.TAILS
+        tails[k] = (tails.get(k, (0, 0))[0] + c, tails.get(k, (0, 0))[1] + 1)
+    v = lm_score.Vocabulary(words_, counts, sum(counts) + 900, 1321, tails)
+    model = lm_score.LogBilinear.begin(v, 3)
+    assert lm_score.TOP < v.own and v.group.max() == v.groups - 1
+    for p1, p2 in ((0, 1), (v.start, v.start), (v.own + 5, 7)):
+        units = np.arange(v.own + lm_score.TAILS)
+        p = np.exp(model.log_probs(units, np.full(len(units), p1), np.full(len(units), p2)))
+        assert math.isclose(p.sum(), 1, rel_tol=1e-4)
+    steps = model.train(1, 0.1)
+    next(steps)
+    before = model.log_probs(np.array([300]), np.array([5]), np.array([6]))
+    for _ in range(30):
+        steps.send((np.full(64, 300), np.full(64, 5), np.full(64, 6)))
+    assert model.log_probs(np.array([300]), np.array([5]), np.array([6])) > before + 1
+
+
+def test_the_model_does_not_follow_partitions(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(f"{'abc'[i % 3]}{min(int(r.expovariate(0.02)), 900)}" for _ in range(60)), "s") for i in range(400)]
+    runs = [{x.doc_id: x.score for x in lm_score.lm_scores(frame(spark, docs).repartition(n)).collect()} for n in (1, 8, 64)]
+    assert all(math.isclose(run[i], runs[0][i], rel_tol=1e-4) for run in runs for i in runs[0])
+
+
+def test_vocabulary_grows_and_packs_of_many_ranges_lose_nothing(spark, monkeypatch):
+    sizes = [lm_score.own_tokens(n) for n in (10**5, 10**6, 10**7, 10**9)]
+    assert sizes == sorted(set(sizes)) and lm_score.own_tokens(10**15) == lm_score.FREQUENT
+    docs = [(i, " ".join(words(50, i, 3000)) + " " + "é" * 90, "s") for i in range(60)]
+    want = {x.doc_id: (x.n_known, x.base_score, x.score) for x in lm_score.lm_scores(frame(spark, docs)).collect()}
+    monkeypatch.setattr(lm_score, "FREQUENT", 300)
+    monkeypatch.setattr(lm_score, "FAN", 3)
+    monkeypatch.setattr(lm_score, "SORT", 40)
+    got = {x.doc_id: (x.n_known, x.base_score, x.score) for x in lm_score.lm_scores(frame(spark, docs)).collect()}
+    assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], rel_tol=1e-9) and math.isfinite(got[i][2]) for i in want)
 
 
 # --- 3 ----------------------------------------------------------------------------------------
