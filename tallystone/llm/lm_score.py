@@ -29,9 +29,9 @@ from .common import rows_of, staged
 from .jaccard_join import grouped
 
 #: Tokens that are groups by themselves, groups of tokens without parameters, dimensions.
-TOP, TAILS, DIM = 256, 128, 24
+TOP, TAILS, DIM = 256, 128, 16
 #: Most positions of a training step, noise groups of a step, noise tokens of a position, rounds, tokens of the shard of a small corpus.
-BATCH, NOISE, PEERS, ROUNDS, SHARD = 1024, 64, 4, 8, 250_000
+BATCH, NOISE, PEERS, ROUNDS, SHARD = 1024, 64, 3, 8, 250_000
 #: Tokens whose counts every task gets (those above go through a join); longer ones than so many bytes go by a digest.
 FREQUENT, LONGEST = 200_000, 64
 SORT = 1_000_000
@@ -172,6 +172,7 @@ class LogBilinear:
         self.v, self.rows, self.sums = vocab, rows, sums
         self.met = [np.zeros(len(r), dtype=np.float32) for r in rows]
         self.x, self.q, self.t, self.c = rows
+        self.spare: dict[int, tuple] = {}  # sums of a step, all 0 between steps
 
     @staticmethod
     def shapes(vocab: Vocabulary) -> list[tuple[int, int]]:
@@ -202,82 +203,108 @@ class LogBilinear:
             sums.append(mean[:, -1].astype(np.float32))
         return LogBilinear(self.v, rows, sums)
 
-    def update(self, which: int, at: np.ndarray, grads: np.ndarray, rate: float) -> None:
-        """Adagrad over the rows ``at``, some of which recur: gradients are sorted by row and summed in runs."""
-        order = np.argsort(at, kind="stable")
-        where = at[order]
-        cuts = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
-        g = np.add.reduceat(grads[order], cuts, axis=0)
-        u = where[cuts]
-        self.met[which][u] += np.diff(np.append(cuts, len(where)))
-        self.sums[which][u] += (g * g).mean(axis=1)
-        self.rows[which][u] += rate * g / np.sqrt(self.sums[which][u])[:, None]
+    def update(self, which: int, at: np.ndarray | None, grads: np.ndarray, rate: float) -> None:
+        """Adagrad over the rows ``at`` (None: all in order), some of which recur."""
+        rows, sums = self.rows[which], self.sums[which]
+        if at is None:
+            sums += np.einsum("nd,nd->n", grads, grads) / grads.shape[1]
+            rows += (rate / np.sqrt(sums))[:, None] * grads
+            self.met[which] += 1
+            return
+        if which not in self.spare:
+            self.spare[which] = np.zeros(rows.shape, dtype=np.float32), np.zeros(len(rows), dtype=bool), np.arange(rows.shape[1])
+        total, touched, cols = self.spare[which]
+        np.add.at(total.reshape(-1), ((at * rows.shape[1])[:, None] + cols).reshape(-1), grads.reshape(-1))
+        np.add.at(self.met[which], at, np.float32(1))
+        touched[at] = True
+        u = np.flatnonzero(touched)
+        touched[u] = False
+        g = total.take(u, 0)
+        total[u] = 0
+        mean = sums.take(u) + np.einsum("nd,nd->n", g, g) / g.shape[1]
+        sums[u] = mean
+        g *= (rate / np.sqrt(mean))[:, None]
+        rows[u] = rows.take(u, 0) + g
 
     def train(self, seed: int, rate: float):
-        """A coroutine: ``send((w, p1, p2))`` makes one step on the contrastive objective of both levels."""
+        """A coroutine: ``send((w, p1, p2))`` makes one step on the contrastive objective of both levels.
+
+        Noise groups are drawn by share and shared by the step; noise units evenly from the group, whose members
+        are neighbours by rank.
+        """
         v, rng = self.v, np.random.default_rng(seed)
         cum = np.cumsum(v.group_share)
         noise_log = np.log(NOISE * v.group_share).astype(np.float32)
-        inner = np.cumsum(v.unit_share)  # units of a group lie between whole numbers, in the order of rank
-        ahead = np.concatenate([[0.0], inner])
-        peer_log = np.log(PEERS * v.unit_share).astype(np.float32)
-        first = np.searchsorted(v.group[: v.own], np.arange(v.groups))  # first unit of each group
+        first = TOP + (np.arange(v.groups) - TOP) * v.size  # first unit of each group of several
+        members = np.maximum(1, np.minimum(first + v.size, v.own) - first)
+        peer_log = np.log(PEERS / members).astype(np.float32)
         while True:
             w, p1, p2 = yield
-            x1, x2 = self.x[p1], self.x[p2]
-            r = x1 @ self.c[:DIM] + x2 @ self.c[DIM:]
-            r1 = np.concatenate([r, np.ones((len(r), 1), np.float32)], axis=1)
-            g = v.group[w]
+            x1, x2 = self.x.take(p1, 0), self.x.take(p2, 0)
+            r1 = np.ones((len(w), DIM + 1), dtype=np.float32)
+            r1[:, :DIM] = x1 @ self.c[:DIM] + x2 @ self.c[DIM:]
+            g = v.group.take(w)
             z = np.minimum(np.searchsorted(cum, rng.random(NOISE)), v.groups - 1)
-            tg, tz = self.t[g], self.t[z]
-            up = 1 / (1 + np.exp(np.minimum((r1 * tg).sum(axis=1) - noise_log[g], 30)))
-            down = -1 / (1 + np.exp(-np.maximum(r1 @ tz.T - noise_log[z], -30)))
+            tg, tz = self.t.take(g, 0), self.t.take(z, 0)
+            up = logistic(noise_log.take(g) - np.einsum("nd,nd->n", r1, tg))
+            down = -logistic(r1 @ tz.T - noise_log[z])
             dr = up[:, None] * tg[:, :DIM] + down @ tz[:, :DIM]
             self.update(2, np.concatenate([g, z]), np.concatenate([up[:, None] * r1, down.T @ r1]), rate)
             inside = np.flatnonzero((w >= TOP) & (w < v.own))
             if len(inside):
-                wi, ri = w[inside], r1[inside]
-                low = ahead[first[g[inside]]]
-                peers = np.searchsorted(inner, low[:, None] + rng.random((len(wi), PEERS)))
-                peers = np.clip(peers, first[g[inside]][:, None], np.minimum(first[g[inside]] + v.size, v.own)[:, None] - 1)
-                qw, qp = self.q[wi], self.q[peers]
-                up = 1 / (1 + np.exp(np.minimum((ri * qw).sum(axis=1) - peer_log[wi], 30)))
-                down = -1 / (1 + np.exp(-np.maximum(np.einsum("nd,njd->nj", ri, qp) - peer_log[peers], -30)))
-                dr[inside] += up[:, None] * qw[:, :DIM] + np.einsum("nj,njd->nd", down, qp[:, :, :DIM])
-                self.update(1, np.concatenate([wi, peers.ravel()]), np.concatenate([up[:, None] * ri, (down[:, :, None] * ri[:, None, :]).reshape(-1, DIM + 1)]), rate)
+                wi, ri, gi = w.take(inside), r1.take(inside, 0), g.take(inside)
+                peers = first.take(gi)[:, None] + (rng.random((len(wi), PEERS), dtype=np.float32) * members.take(gi)[:, None]).astype(np.int64)
+                both = np.concatenate([wi[:, None], peers], axis=1)
+                qs = self.q.take(both.ravel(), 0).reshape(len(wi), PEERS + 1, DIM + 1)
+                slope = np.einsum("nd,njd->nj", ri, qs) - peer_log.take(gi)[:, None]
+                slope[:, 0] *= -1
+                slope = logistic(slope)
+                slope[:, 1:] *= -1
+                dr[inside] += np.einsum("nj,njd->nd", slope, qs[:, :, :DIM])
+                self.update(1, both.ravel(), (slope[:, :, None] * ri[:, None, :]).reshape(-1, DIM + 1), rate)
             dc = np.concatenate([x1.T @ dr, x2.T @ dr])
             self.update(0, np.concatenate([p1, p2]), np.concatenate([dr @ self.c[:DIM].T, dr @ self.c[DIM:].T]), rate)
-            self.update(3, np.arange(2 * DIM), dc, rate)
+            self.update(3, None, dc, rate)
 
     def log_probs(self, w: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """Natural log of the probability of units (for a tail: of all its tokens together), normalised over all alternatives of both levels."""
-        v, out = self.v, np.empty(len(w))
-        one, two, t, c = self.x @ self.c[:DIM], self.x @ self.c[DIM:], np.ascontiguousarray(self.t[:, :DIM].T), self.t[:, DIM]
-        for at in range(0, len(w), 65_536):
-            s = slice(at, at + 65_536)
-            pairs, place = np.unique(p1[s] * (v.start + 1) + p2[s], return_inverse=True)
-            r = one[pairs // (v.start + 1)] + two[pairs % (v.start + 1)]
-            norm = np.concatenate([log_sum(r[i : i + 512] @ t + c) for i in range(0, len(r), 512)])
-            g = v.group[w[s]]
-            out[s] = (r[place] * self.t[g, :DIM]).sum(axis=1) + c[g] - norm[place]
+        v, out, size = self.v, np.empty(len(w)), self.v.start + 1
+        one, two, t = self.x @ self.c[:DIM], self.x @ self.c[DIM:], np.ascontiguousarray(self.t.T)
+        for at in range(0, len(w), 131_072):
+            s = slice(at, at + 131_072)
+            pairs, place = np.unique(p1[s] * size + p2[s], return_inverse=True)
+            r = np.ones((len(pairs), DIM + 1), dtype=np.float32)
+            r[:, :DIM] = one.take(pairs // size, 0) + two.take(pairs % size, 0)
+            norm = np.concatenate([log_sum(r[i : i + 512] @ t) for i in range(0, len(r), 512)])
+            g = v.group.take(w[s])
+            mine = r.take(place, 0)
+            out[s] = np.einsum("nd,nd->n", mine, self.t.take(g, 0)) - norm[place]
             inside = np.flatnonzero((w[s] >= TOP) & (w[s] < v.own))
             inside = inside[np.argsort(g[inside], kind="stable")]
             cuts = np.flatnonzero(np.diff(g[inside], prepend=-1, append=-1)) if len(inside) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 i = inside[a:b]
                 low = TOP + (g[i[0]] - TOP) * v.size
-                q = self.q[low : min(low + v.size, v.own)]
-                scores = r[place[i]] @ q[:, :DIM].T + q[:, DIM]
+                scores = mine.take(i, 0) @ self.q[low : min(low + v.size, v.own)].T
                 out[at + i] += scores[np.arange(len(i)), w[at + i] - low] - log_sum(scores)
         return out
 
 
+def logistic(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
 def log_sum(scores: np.ndarray) -> np.ndarray:
-    """log of the sum of exp along rows; overwrites its argument."""
-    top = scores.max(axis=1)
-    scores -= top[:, None]
-    np.exp(scores, out=scores)
-    return np.log(scores @ np.ones(scores.shape[1], dtype=scores.dtype)) + top
+    """log of the sum of exp along rows. Scores beyond what exp can hold are shifted first."""
+    if scores.size and scores.max() > 80:
+        top = scores.max(axis=1)
+        return np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
+    return np.log(np.exp(scores) @ np.ones(scores.shape[1], dtype=scores.dtype))
 
 
 def contexts(units: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -290,18 +317,51 @@ def contexts(units: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarr
     return p1, p2
 
 
-def dealt(docs: DataFrame, sent, shards: int) -> DataFrame:
-    """The training texts as units, dealt to rounds and shards by the hash of the row: a table in the shared folder, sorted by round."""
+TABLE = "r int, pack binary, round int, shard int, key long, row long, id long, held_out boolean, n_tokens long, n_known long, base double, part double, units binary"
+
+
+def dealt(docs: DataFrame, sent, shards: int, ranges: int) -> DataFrame:
+    """A table in the shared folder, sorted by round: a row for each text with its units, its round and shard by hash and what
+    frequent tokens give (``part``: their log10 share of their tails), and rows with packs of (hash, row, tail) of all other tokens."""
+    names, step = [x.split()[0] for x in TABLE.split(", ")], -(-ranges // FAN)
+    types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]] for x in TABLE.split(", ")]
+
+    def table_batch(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
 
     def run(batches):
-        for keys, texts in rows_of(batches, ["key", "t"], 256):
+        vocab, rare_rows = sent.value, []
+
+        def rare_batch():
+            at, data = packs(np.concatenate(rare_rows), ranges, step)
+            rare_rows.clear()
+            return table_batch(len(at), r=at, pack=data)
+
+        for keys, row, ids, held, texts in rows_of(batches, ["key", "row", "id", "held_out", "t"], 256):
             words, sizes = tokens_of(texts)
-            units = np.split(sent.value.indexed(words)[1].astype(np.int32), np.cumsum(sizes)[:-1]) if texts else []
+            idx, units, rare = vocab.indexed(words)
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            known = idx >= 0
+            freq, mine = idx[known], owner[known]
+            total = lambda x: np.bincount(mine, weights=x, minlength=len(texts))
             slots = [k % (ROUNDS * shards) for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array([x % ROUNDS for x in slots], pa.int32()), pa.array([x // ROUNDS for x in slots], pa.int32()), pa.array(keys, pa.int64()), pa.array([u.tobytes() for u in units], pa.binary())], ["round", "shard", "key", "units"])
+            yield table_batch(
+                len(keys), round=[x % ROUNDS for x in slots], shard=[x // ROUNDS for x in slots], key=keys, row=row, id=ids, held_out=held, n_tokens=sizes,
+                n_known=np.bincount(mine, minlength=len(texts)).astype(np.int64), base=total(vocab.base[freq]), part=total(vocab.within[freq]), units=[u.tobytes() for u in np.split(units.astype(np.int32), np.cumsum(sizes)[:-1])] if texts else [],
+            )
+            if len(rare):
+                rows = np.empty((len(rare), 3), dtype=np.int64)
+                rows[:, 0] = [signed(xxhash.xxh3_64_intdigest(words[i])) for i in rare.tolist()]
+                rows[:, 1] = np.array(row, dtype=np.int64)[owner[rare]]
+                rows[:, 2] = units[rare] - vocab.own
+                rare_rows.append(rows)
+                if sum(map(len, rare_rows)) > 400_000:
+                    yield rare_batch()
+        if rare_rows:
+            yield rare_batch()
 
-    rows = docs.where(~F.col("held_out")).select(F.xxhash64("id", "t").alias("key"), "t").mapInArrow(run, "round int, shard int, key long, units binary")
-    return staged(rows.sortWithinPartitions("round"), "units")
+    rows = docs.select(F.xxhash64("id", "t").alias("key"), F.monotonically_increasing_id().alias("row"), "id", "held_out", "t")
+    return staged(rows.mapInArrow(run, TABLE).sortWithinPartitions("round"), "units")
 
 
 def shards_of(total: int) -> int:
@@ -309,11 +369,10 @@ def shards_of(total: int) -> int:
     return max(1, round(math.sqrt(total / ROUNDS / SHARD)))
 
 
-def trained(docs: DataFrame, sent, seed: int) -> LogBilinear:
+def trained(table: DataFrame, sent, shards: int, seed: int) -> LogBilinear:
     """The model after all rounds. A round's parameters meet in a few tasks, then on the driver: two arrays of bounded size."""
     vocab = sent.value
-    model, shards = LogBilinear.begin(vocab, seed), shards_of(vocab.total)
-    table, sc = dealt(docs, sent, shards), docs.sparkSession.sparkContext
+    model, sc = LogBilinear.begin(vocab, seed), table.sparkSession.sparkContext
     for number in range(ROUNDS):
         given = sc.broadcast((model.rows, model.sums))
         rate = 0.12 * (1 - number / (ROUNDS + 2))
@@ -353,7 +412,7 @@ def trained(docs: DataFrame, sent, seed: int) -> LogBilinear:
                 yield pa.RecordBatch.from_arrays([pa.array([low], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.large_binary())], ["shard", "flat"])
 
         schema = "shard int, flat binary"
-        mine = table.where(F.col("round") == number).select("shard", "key", "units")
+        mine = table.where((F.col("round") == number) & ~F.col("held_out")).select("shard", "key", "units")
         found = mine.repartition(shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(run, schema)
         for fold in ([math.ceil(math.sqrt(shards))] if shards > 8 else []) + [2]:
             found = found.withColumn("to", F.col("shard") % fold).repartition(fold, "to").sortWithinPartitions("to", "shard").drop("to").mapInArrow(add, schema)
@@ -374,9 +433,6 @@ def feed(steps, held: list[tuple], seed: int, batch: int) -> None:
         steps.send((w[o], p1[o], p2[o]))
 
 
-SCORES = "r int, pack binary, row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-
-
 def packs(rows: np.ndarray, ranges: int, step: int = 1) -> tuple[list[int], list[bytes]]:
     """Rows of 64-bit numbers cut by the range of the first; ``step`` ranges together are one pack."""
     where = (rows[:, 0].view(np.uint64) % np.uint64(ranges)).astype(np.int64) // step
@@ -412,52 +468,27 @@ def pack_batch(rows: np.ndarray, ranges: int, step: int = 1) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary())], ["r", "pack"])
 
 
-def known_part(docs: DataFrame, sent, model, ranges: int) -> DataFrame:
-    """Per text: what frequent tokens and the model give (``row`` rows), and packs of (hash, row, tail) of the other tokens."""
-
-    step = -(-ranges // FAN)
+def scored(table: DataFrame, sent, model) -> DataFrame:
+    """The texts of the table with the log10 probability of their units, ``part`` included."""
+    fields = "row long, id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+    names = [x.split()[0] for x in fields.split(", ")]
 
     def run(batches):
         vocab, lbl = sent.value, LogBilinear(sent.value, *model.value)
-        names = [x.split()[0] for x in SCORES.split(", ")]
-        rare_rows: list[np.ndarray] = []
-
-        def row_batch(cols, n):
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), *cols], names)
-
-        def rare_batch():
-            at, data = packs(np.concatenate(rare_rows), ranges, step)
-            rare_rows.clear()
-            n = len(at)
-            return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(data, pa.binary()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names)
-
-        for keys, ids, held, texts in rows_of(batches, ["row", "id", "held_out", "t"], 256):
-            words, sizes = tokens_of(texts)
-            idx, units, rare = vocab.indexed(words)
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            log10 = lbl.log_probs(units, *contexts(units, sizes, vocab.start)) / np.log(10)
-            known = idx >= 0
-            freq = idx[known]
-            log10[known] += vocab.within[freq]
-            score = np.bincount(owner, weights=log10, minlength=len(texts))
-            base = np.bincount(owner[known], weights=vocab.base[freq], minlength=len(texts))
-            n_known = np.bincount(owner[known], minlength=len(texts))
-            yield row_batch([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(sizes), pa.array(n_known.astype(np.int64)), pa.array(base), pa.array(score)], len(texts))
-            if len(rare):
-                rows = np.empty((len(rare), 3), dtype=np.int64)
-                rows[:, 0] = [signed(xxhash.xxh3_64_intdigest(words[i])) for i in rare.tolist()]
-                rows[:, 1] = np.array(keys, dtype=np.int64)[owner[rare]]
-                rows[:, 2] = units[rare] - vocab.own
-                rare_rows.append(rows)
-                if sum(map(len, rare_rows)) > 400_000:
-                    yield rare_batch()
-        if rare_rows:
-            yield rare_batch()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                data = rows.column(rows.schema.get_field_index("units")).to_pylist()
+                sizes = np.array([len(u) // 4 for u in data])
+                units = np.frombuffer(b"".join(data), dtype=np.int32).astype(np.int64)
+                logs = lbl.log_probs(units, *contexts(units, sizes, vocab.start))
+                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes)) / math.log(10) + rows.column(rows.schema.get_field_index("part")).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(score) if c == "score" else rows.column(rows.schema.get_field_index(c)) for c in names], names)
 
-    return staged(docs.select("row", "id", "held_out", "t").mapInArrow(run, SCORES), "scores")
+    return table.where("units is not null").select(*names[:-1], "part", "units").mapInArrow(run, fields)
 
 
-def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFrame:
+def rare_part(table: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFrame:
     """``(row, n_known, base, score)`` of the tokens outside the frequent ones, summed per text.
 
     Counts and tokens meet by hash range; a range is sorted and searched as an array. The sums of each range
@@ -500,7 +531,7 @@ def rare_part(scores: DataFrame, counts: DataFrame, sent, ranges: int) -> DataFr
                 s = slice(at, at + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(row[s]), pa.array(sums[0][s].astype(np.int64)), pa.array(sums[1][s]), pa.array(sums[2][s])], ["row", "n_known", "base", "score"])
 
-    asked = scores.where("r is not null").select("r", "pack")
+    asked = table.where("r is not null").select("r", "pack")
     both = asked.unionByName(counts.select("h", "c").mapInArrow(pack_counts, "r int, pack binary"))
     sums = by_range(both, ranges, 3).mapInArrow(look_up, "r int, pack binary")
     return by_range(sums, ranges, 4).mapInArrow(add_up, "row long, n_known long, base double, score double")
@@ -516,7 +547,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
 
     The same rows give the same model, however they are partitioned.
 
-    Scale: three passes over the texts (count, deal, score) and eight over the dealt units. What tasks share is bounded: 200,000 tokens of
+    Scale: two passes over the texts (count, deal); training and scoring read the dealt units. What tasks share is bounded: 200,000 tokens of
     at most 64 bytes (longer ones go by a digest of 17) and the parameters of at most as many. All other tokens are looked up by hash range.
     """
     held_out = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == held
@@ -525,12 +556,11 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = token_counts(rows)
     vocab = vocabulary(counts)
     sent = sc.broadcast(vocab)
-    found = trained(rows, sent, seed)
-    model = sc.broadcast((found.rows, found.sums))
-    ranges = max(1, -(-(vocab.total // 8) // SORT))
-    scores = known_part(rows.withColumn("row", F.monotonically_increasing_id()), sent, model, ranges)
-    own = scores.where("r is null").select("row", "id", "held_out", "n_tokens", "n_known", "base", "score")
-    rare = rare_part(scores, counts, sent, ranges).select("row", *[F.col(c).alias(f"{c}2") for c in ("n_known", "base", "score")])
+    ranges, shards = max(1, -(-(vocab.total // 8) // SORT)), shards_of(vocab.total)
+    table = dealt(rows, sent, shards, ranges)
+    model = trained(table, sent, shards, seed)
+    own = scored(table, sent, sc.broadcast((model.rows, model.sums)))
+    rare = rare_part(table, counts, sent, ranges).select("row", *[F.col(c).alias(f"{c}2") for c in ("n_known", "base", "score")])
     plus = lambda c: F.col(c) + F.coalesce(F.col(f"{c}2"), F.lit(0))
     joined = own.join(rare, "row", "left")
     return joined.select(F.col("id").alias(id_col), "held_out", "n_tokens", plus("n_known").cast("long").alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"), plus("base").alias("base_score"), plus("score").alias("score"))
