@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import rows_of, spread_join, staged
 
 SENTENCE_END = re.compile(r"[.!?]+[\s]+|\n+")
 
@@ -89,7 +89,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_s
 
     Scale: spans are three numbers each. Their aggregation combines before the shuffle, so a
     passage in a third of all documents is no hot spot; only the hashes found repeated are
-    joined back, in a join that adaptive execution splits. Texts are shuffled once.
+    joined back, the frequent ones salted. Texts are shuffled once.
     """
     key = F.xxhash64(id_col, text_col)
 
@@ -102,8 +102,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_s
     texts = docs.select(key.alias("k"), F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     found = staged(texts.mapInArrow(find, "k long, id long, h long, i int, n int"), "spans")
     at = F.struct(F.col("id"), F.col("k"), F.col("i"))
-    repeated = found.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last")).where(F.col("first") != F.col("last")).select("h", "first")
-    later = found.join(repeated, "h").where(at != F.col("first"))
+    repeated = found.groupBy("h").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.count("*").alias("times")).where(F.col("first") != F.col("last")).select("h", "first", "times")
+    later = spread_join(found, staged(repeated, "repeated"), ["h"], "times", F.struct("k", "i")).where(at != F.col("first"))
     marks = later.groupBy("k").agg(F.collect_set(F.struct("i", "n")).alias("marks")).withColumnRenamed("k", "mk")
     both = texts.join(marks, texts["k"] == marks["mk"], "left").select("id", "t", F.col("marks.i").alias("i"), F.col("marks.n").alias("n"))
 
