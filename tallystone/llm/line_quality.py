@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import fresh, rows_of, spread_join, staged
 
 #: Characters that count as symbols, and white space.
 SYMBOLS = "#*$%&|<>"
@@ -100,14 +100,15 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     read.
 
     Scale: the text is read once. Counting by (host, line) combines before the shuffle, so a
-    line or host of a third of all rows is no hot spot; the join back to the documents' lines is
-    an ordinary equi-join that adaptive execution splits.
+    line or host of a third of all rows is no hot spot; only frequent lines are joined back to the documents' lines, the most frequent ones
+    salted.
     """
     base = staged(profiles(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "profiles")
     host = F.xxhash64(F.col("host").isNull(), F.col("host"))
     held = base.where(F.size("lines") > 0).select("row", "id", host.alias("hk"), "copy", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("row", "id", "hk", "copy", F.col("l.lines").alias("line"), F.col("l.line_words").alias("w"))
-    frequent = held.groupBy("hk", "line").agg(F.countDistinct("copy").alias("n"), F.min("id").alias("first")).where(F.col("n") > max_docs).select("hk", "line", "first")
-    gone = held.join(frequent, ["hk", "line"]).where(~F.col("id").eqNullSafe(F.col("first"))).groupBy("row").agg(F.sum("w").alias("w"), F.collect_set("line").alias("gone"))
+    frequent = held.groupBy("hk", "line").agg(F.countDistinct("copy").alias("n"), F.min("id").alias("first"), F.count("*").alias("times")).where(F.col("n") > max_docs).select("hk", "line", "first", "times")
+    later = spread_join(held, staged(frequent, "frequent"), ["hk", "line"], "times", F.col("row")).where(~F.col("id").eqNullSafe(F.col("first")))
+    gone = later.groupBy("row").agg(F.sum("w").alias("w"), F.collect_set("line").alias("gone"))
     joined = base.drop("lines", "line_words", "copy", "host").join(gone, "row", "left")
     left = (F.col("n_words") - F.coalesce(F.col("w"), F.lit(0))).alias("n_words_left")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > int(round(100 * max_repeat)) * F.col("n_words"))
@@ -123,9 +124,15 @@ def without_lines(text: str, gone: set[int]) -> str:
 
 
 def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
-    """``docs`` without the rows that ``quality`` rejects, their texts without frequent lines; other columns stay as they are."""
-    kept = quality(docs, id_col, text_col, host_col, with_key=True, **limits).where("kept").select(F.col("key").alias("__key"), F.col("gone").alias("__gone")).dropDuplicates(["__key"])
+    """``docs`` without the rows that ``quality`` rejects, their texts without frequent lines; other columns stay as they are.
+
+    Repeated rows pass each for itself. A line that recurs in one text leaves it wherever it stands; blank lines stay. An empty
+    table stays empty; columns of any name pass through. The texts are shuffled once, by a hash of the row.
+    """
     columns = docs.columns
+    key, gone_, own = fresh(columns, "key", "gone", "own")
+    found = quality(docs, id_col, text_col, host_col, with_key=True, **limits).where("kept")
+    kept = found.select(F.col("key").alias(key), F.col("gone").alias(gone_), F.col(id_col).alias(own)).dropDuplicates([key, own])
 
     def cut(batches):
         for batch in batches:
@@ -135,5 +142,6 @@ def passing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
                 new = pa.array([without_lines(t, set(g)) if g and t else t for t, g in zip(texts, gone, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([new if c == text_col else part.column(i) for i, c in enumerate(columns)], columns)
 
-    joined = docs.withColumn("__key", F.xxhash64(id_col, host_col, text_col)).join(kept, "__key").select(*columns, "__gone")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, host_col, text_col))
+    joined = keyed.join(kept, (keyed[key] == kept[key]) & keyed[id_col].eqNullSafe(kept[own])).select(*[keyed[c] for c in columns], gone_)
     return joined.mapInArrow(cut, docs.schema)
