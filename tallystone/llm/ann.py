@@ -10,19 +10,23 @@ query's best scores so far.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import stage, stage_path, staged
 
 
+NEAREST = "query_id long, rank int, vec_id long, score double"
 #: Pairs that are scored at a time, and cells of the matrix of estimates.
 PAIRS, CELLS = 16_384, 2_000_000
 
 
+@functools.lru_cache(maxsize=4)
 def rotation(dim: int, seed: int) -> np.ndarray:
     """A random rotation: the orthogonal factor of a Gaussian matrix, signs made unique."""
     q, r = np.linalg.qr(np.random.default_rng(seed).standard_normal((dim, dim)))
@@ -47,23 +51,31 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def usable(column: str, dim: int):
-    """Rows whose vector has the dimension, no null or non-finite component and is not all zero."""
+def usable(column: str):
+    """Rows whose vector has no null or non-finite component and is not all zero."""
     v = F.col(column)
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return v.isNotNull() & (F.size(v) == dim) & F.coalesce(fine, F.lit(False))
+    return v.isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def lengths(vectors: pa.Array):
+    """``(dim, places)`` for each length of the vectors of a batch."""
+    dims = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for dim in np.unique(dims).tolist():
+        yield dim, np.flatnonzero(dims == dim)
 
 
-def build_index(vectors: DataFrame, id_col: str, vector_col: str, dim: int, seed: int) -> DataFrame:
-    """``(vec_id, code, f, v)`` of every usable row, as a table in the shared folder."""
+def build_index(vectors: DataFrame, id_col: str, vector_col: str, seed: int) -> DataFrame:
+    """``(vec_id, code, f, v)`` of every usable row, as a table in the shared folder. Each length has its own rotation."""
 
     def run(batches):
-        turn = rotation(dim, seed)
         for b in batches:
-            code, f = encode(matrix(b.column(1), dim), turn) if b.num_rows else (np.empty((0, 1), np.uint8), np.empty(0))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(f, pa.float64()), b.column(1).cast(pa.list_(pa.float64()))], ["vec_id", "code", "f", "v"])
+            for dim, at in lengths(b.column(1)):
+                ids, v = b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at))
+                code, f = encode(matrix(v, dim), rotation(dim, seed))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([c.tobytes() for c in code], pa.binary()), pa.array(f, pa.float64()), v.cast(pa.list_(pa.float64()))], ["vec_id", "code", "f", "v"])
 
-    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col, dim)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    rows = vectors.where(F.col(id_col).isNotNull() & usable(vector_col)).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     return staged(rows.mapInArrow(run, "vec_id long, code binary, f double, v array<double>"), "codes")
 
 
@@ -120,44 +132,51 @@ class Searcher:
         self.keep(q, ids[c], self.exact(q, v, c))
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, epsilon: float = 1.9, seed: int = 7, block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, epsilon: float = 3.0, seed: int = 7, block: int = 8192) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest rows by cosine for each row whose id is divisible by ``every``.
 
-    Ties go to the smaller id. Null ids, null or zero vectors and vectors with null or
-    non-finite components take no part, nor do vectors whose length differs from that
-    of the row of smallest id. Rows that share a query's id are its own; a query id that
+    Ties go to the smaller id. Null ids, null, empty or zero vectors and vectors with null or
+    non-finite components take no part. Vectors of different lengths have no cosine: a query meets the rows of its own
+    length. Rows that share a query's id are its own; a query id that
     occurs in several rows is asked with the smallest of its vectors. Fewer than ``k`` candidates are all returned. An empty table
     gives an empty result; other columns are not read.
 
-    Queries go out in blocks of at most about ``block`` (a broadcast of bounded size); each task keeps ``k`` rows a
-    query, whatever it reads, and one window over ``k`` rows a task and query merges them.
+    Queries go out in blocks of about ``block`` by hash, one job a block: the block is broadcast (a bounded size) and released, each task keeps
+    ``k`` rows a query, whatever it reads, and one window over ``k`` rows a task and query merges them into a table in the shared
+    folder. So neither the driver nor a plan grows with the number of queries.
     """
     spark = vectors.sparkSession
-    size = F.when(F.size(vector_col) > 0, F.size(vector_col))
-    dim = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).agg(F.min_by(size, F.when(size.isNotNull(), F.col(id_col)))).first()[0] or 1
-    index = build_index(vectors, id_col, vector_col, dim, seed)
-    queries = index.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).groupBy("vec_id").agg(F.min("v").alias("v")).orderBy("vec_id").collect()
-        if not mine and out is not None:
-            continue
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in mine], dtype=np.int64), np.array([r[1] for r in mine], dtype=np.float64).reshape(-1, dim)))
+    index = build_index(vectors, id_col, vector_col, seed)
+    spots = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-index.where(F.col("vec_id") % every == 0).count() // block))))
+    queries = staged(index.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("block", spots).sortWithinPartitions("block"), "queries")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = stage_path(spark, "nearest")
+    blocks = queries.select("block").distinct().orderBy("block").collect()
+    for (b,) in blocks:
+        asked: dict[int, list] = {}
+        for r in queries.where(F.col("block") == b).orderBy("vec_id").collect():
+            asked.setdefault(len(r[1]), []).append(r)
+        sent = spark.sparkContext.broadcast({dim: (np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.float64)) for dim, rows in asked.items()})
 
         def run(batches, sent=sent):
-            ids, v = sent.value
-            s = Searcher(ids, v, k, epsilon, rotation(dim, seed))
-            step = max(64, CELLS // max(1, len(ids)))
+            searchers = {dim: Searcher(ids, v, k, epsilon, rotation(dim, seed)) for dim, (ids, v) in sent.value.items()}
             for whole in batches:
-                for at in range(0, whole.num_rows if len(ids) else 0, step):
-                    x = whole.slice(at, step)
-                    codes = np.frombuffer(b"".join(x.column(1).to_pylist()), dtype=np.uint8).reshape(x.num_rows, -1)
-                    s.add(x.column(0).to_numpy(), codes, x.column(2).to_numpy(), matrix(x.column(3), dim))
-            q, p = np.nonzero(np.isfinite(s.score))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(s.found[q, p]), pa.array(s.score[q, p])], ["query_id", "vec_id", "score"])
+                for dim, at in lengths(whole.column(3)):
+                    if dim in searchers:
+                        s = searchers[dim]
+                        step = max(64, CELLS // len(s.ids))
+                        for i in range(0, len(at), step):
+                            x = whole.take(pa.array(at[i : i + step]))
+                            codes = np.frombuffer(b"".join(x.column(1).to_pylist()), dtype=np.uint8).reshape(x.num_rows, -1)
+                            s.add(x.column(0).to_numpy(), codes, x.column(2).to_numpy(), matrix(x.column(3), dim))
+            for s in searchers.values():
+                q, p = np.nonzero(np.isfinite(s.score))
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids[q]), pa.array(s.found[q, p]), pa.array(s.score[q, p])], ["query_id", "vec_id", "score"])
 
         part = index.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        nearest = part.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        stage(nearest, found)
+        sent.destroy()
+    if not blocks:
+        stage(spark.createDataFrame([], NEAREST), found)
+    return spark.read.schema(NEAREST).parquet(found)
