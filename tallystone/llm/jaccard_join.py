@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import fresh, rows_of, staged
 from .components import components
 
 #: Coordinates of a point, shingles of a set that name its buckets in the first round, points of a tree leaf, most documents of one bucket task and of one block, buckets that a node carries, shingles of one sort.
@@ -465,10 +465,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 80, width: int = 5) -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id. Wordless texts stay; rows alike in id and text become one."""
+    """``docs`` with one document of each component: the one of smallest id, null last.
+
+    Wordless texts (null, empty, white space) stay. Rows alike in id and text become one, whichever of them; ties of id go
+    by a hash of the text. An empty table stays empty, columns of any name pass through.
+    """
     sigs, classes = labelled_rows(docs, id_col, text_col, threshold, width)
+    (key,) = fresh(docs.columns, "key")
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("k"))
-    first = sigs.where("n > 0").join(classes, "fp").groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.k").alias("__k"))
-    kept = staged(first.unionByName(sigs.where("n = 0").select(F.col("k").alias("__k"))).distinct(), "kept")
-    keyed = docs.withColumn("__k", F.xxhash64(id_col, text_col))
-    return keyed.join(kept, "__k", "left_semi").dropDuplicates(["__k"]).drop("__k")
+    first = sigs.where("n > 0").join(classes, "fp").groupBy("label").agg(F.min(order).alias("x")).select(F.col("x.k").alias(key))
+    kept = staged(first.unionByName(sigs.where("n = 0").select(F.col("k").alias(key))).distinct(), "kept")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

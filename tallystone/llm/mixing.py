@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import staged
+from .common import fresh, staged
 
 #: Characters of the seeded hash that pick one of 4,096 buckets of a source.
 BUCKET = 3
@@ -67,7 +67,7 @@ def water_fill(sources: DataFrame, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", F.least(cap, F.col("weight") * F.lit(max(level, 0.0))))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = 42, with_key: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5.0, 2.0, 1.0), max_epochs: int = 3, seed: int = 42, with_key: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: id, ``size`` in words, ``source_size``, ``target`` (its source's) and ``taken``.
 
     ``weights`` repeat over the sources in code point order, null last. The random order is
@@ -80,7 +80,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     with a third of all rows is spread evenly and no row-level window spans a source.
     """
     key = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256)
-    rows = staged(docs.select(F.xxhash64(id_col, source_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("h")), "sizes")
+    rows = staged(docs.select(F.xxhash64(*(with_key or (id_col,))).alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(F.col(text_col)).alias("size"), key.alias("h")), "sizes")
     bucketed = rows.withColumn("b", F.substring("h", 1, BUCKET))
     buckets = bucketed.groupBy("src", "b").agg(F.sum("size").alias("b_size"))
     sizes = buckets.groupBy("src").agg(F.sum("b_size").alias("source_size"))
@@ -97,13 +97,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     start = F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     extra = F.when(F.col("whole") < max_epochs, part).otherwise(0)
-    return joined.select(*["key"] * with_key, F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
+    return joined.select(*["key"] * bool(with_key), F.col("id").alias(id_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it; a repetition taken in part counts if it is half or more."""
-    taken = mix(docs, id_col, text_col, source_col, with_key=True, **options)
-    times = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
-    copies = taken.groupBy(F.col("key").alias("__key")).agg(F.sum(times).cast("int").alias("__n")).where("__n > 0")
-    one = docs.withColumn("__key", F.xxhash64(id_col, source_col, text_col)).join(copies, "__key").dropDuplicates(["__key"])
-    return one.withColumn("__n", F.explode(F.array_repeat(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """``docs`` with every row as often as the mix takes it; a repetition taken in part counts if it is half or more.
+
+    Rows alike in all columns are exchangeable; any other row keeps its own columns, whatever it shares with others. Null
+    ids, sources and texts are ordinary values, rows without words are never taken, an empty table stays empty, columns of any name
+    pass through (maps, which have no hash, don't tell rows apart). Texts are shuffled once, by a hash of the row.
+    """
+    hashed = [c for c, t in docs.dtypes if "map<" not in t and t != "variant"]
+    key, times, own = fresh(docs.columns, "key", "times", "own")
+    taken = mix(docs, id_col, text_col, source_col, with_key=tuple(hashed), **options)
+    often = F.when(F.col("size") > 0, F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size")))).otherwise(0).cast("int")
+    copies = taken.groupBy(F.col("key").alias(key), F.col(id_col).alias(own)).agg(F.sum(often).cast("int").alias(times)).where(F.col(times) > 0)
+    keyed = docs.withColumn(key, F.xxhash64(*hashed))
+    one = keyed.join(copies, (keyed[key] == copies[key]) & keyed[id_col].eqNullSafe(copies[own])).select(*[keyed[c] for c in keyed.columns], times)
+    one = one.dropDuplicates([key, id_col])
+    return one.withColumn(times, F.explode(F.array_repeat(F.lit(1), F.col(times)))).select(*docs.columns)

@@ -39,9 +39,9 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secrets.find_secrets(docs)
     kinds = F.transform("spans", lambda s: s["kind"])
-    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov")]
+    assign, access, hexes, markov = ((F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex", "markov"))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
-    return found.select("doc_id", *counts, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"))
+    return found.select("doc_id", assign, access, hexes, F.sha2(secrets.span_list(base), 256).alias("base_sha256"), secrets.span_list(F.col("spans")).alias("spans"), markov)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,8 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The contract's kinds, their patterns (Java), the group whose length counts and its least length.
 KINDS = (
     ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
@@ -34,10 +36,10 @@ def char_class(c: Column) -> Column:
     return F.when(at == 0, CLASSES).otherwise(at)
 
 
-def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary: int) -> DataFrame:
+def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary: int, per_document: int = 200) -> DataFrame:
     """``(s, label)``: 1 for drawn strings, 0 for identifiers, paths, bare numbers and rules.
 
-    The bound is ``2 n_random`` and ``n_ordinary`` strings. Identifiers and paths are runs of token
+    The bound is ``2 n_random`` and ``n_ordinary`` strings, ``per_document`` of a document. Identifiers and paths are runs of token
     characters of 6 to 15 with at most two digits (so no candidate trains the model that judges it), from
     documents whose hashed text is divisible by a number that leaves about ``n_ordinary / 20`` of them, and the names in a few modules of Python,
     also joined as paths. Bare numbers are drawn; rules are one sign repeated.
@@ -47,7 +49,7 @@ def labelled_strings(docs: DataFrame, text_col: str, n_random: int, n_ordinary:
     b64 = F.regexp_replace(F.base64(F.unhex(digest)), "=+$", "")
     drawn = spark.range(n_random).select(F.when(F.col("id") % 4 < 2, b64).when(F.col("id") % 4 == 2, F.upper(F.translate(digest, "0189", "ghij"))).otherwise(digest).alias("s"), F.lit(1).alias("label"))
     few = F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // max(1, n_ordinary // 20)))) == 0
-    words = docs.where((F.length(text_col) > 0) & few).select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9+/_-]{6,}"), 0)), 1, 200)).alias("s"))
+    words = docs.where((F.length(text_col) > 0) & few).select(F.explode(F.slice(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit("[A-Za-z0-9+/_-]{6,}"), 0)), 1, per_document)).alias("s"))
     words = words.where(~F.col("s").rlike("[0-9].*[0-9].*[0-9]") & (F.length("s") < 16)).distinct().orderBy(F.xxhash64("s"), "s").limit(n_ordinary).select("s", F.lit(0).alias("label"))
     # names of the language's own library stand in where the texts hold few
     names = sorted({n.strip("_") for n in (*dir(builtins), *sys.stdlib_module_names, *dir(str), *dir(os), *dir(math)) if len(n) > 5})
@@ -120,17 +122,18 @@ def find_secrets(docs: DataFrame, text_col: str = "text", threshold: float = 0.6
     the bounded training sample; the model is a literal of 4,225 numbers. An input column
     named ``spans`` is replaced.
     """
+    fixed, other = fresh(docs.columns, "fixed", "other")
     model = train_ratios(labelled_strings(docs, text_col, n_random, n_ordinary))
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__fixed", F.concat(*[match_spans(text, *k) for k in KINDS]))
-    out = out.withColumn("__other", match_spans(text, "markov", CANDIDATE, 0, 16))
-    clear = F.filter(F.col("__other"), lambda s: ~F.exists(F.col("__fixed"), lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
+    out = docs.withColumn(fixed, F.concat(*[match_spans(text, *k) for k in KINDS]))
+    out = out.withColumn(other, match_spans(text, "markov", CANDIDATE, 0, 16))
+    clear = F.filter(F.col(other), lambda s: ~F.exists(F.col(fixed), lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"])))
     added = F.filter(clear, lambda s: ratio(s["value"], table) > threshold)
     place = lambda k: F.when(k == "assign", 0).when(k == "access", 1).when(k == "hex", 2).otherwise(3)
-    both = F.concat(F.col("__fixed"), F.when(F.size("__other") > 0, added).otherwise(F.filter(F.col("__other"), lambda s: F.lit(False))))
+    both = F.concat(F.col(fixed), F.when(F.size(other) > 0, added).otherwise(F.filter(F.col(other), lambda s: F.lit(False))))
     keyed = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("a"), place(s["kind"]).alias("b"), s["end"].alias("c"), s.alias("s"))))
-    return out.withColumn("spans", F.transform(keyed, lambda x: x["s"])).drop("__fixed", "__other")
+    return out.withColumn("spans", F.transform(keyed, lambda x: x["s"])).drop(fixed, other)
 
 
 def span_list(spans: Column) -> Column:
@@ -141,9 +144,12 @@ def span_list(spans: Column) -> Column:
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "<|secret|>", **options) -> DataFrame:
     """``docs`` with each secret of the texts replaced by ``mark``; columns stay as they are.
 
-    Overlapping spans become one mark over their union. Null texts stay null.
+    Overlapping spans become one mark over their union. Null texts stay null, repeated rows each stay, columns of any name pass through.
     """
     columns = docs.columns
+    if "spans" in columns:  # the operator's own column would replace it
+        (kept,) = fresh(columns, "own_spans")
+        return redact(docs.withColumnRenamed("spans", kept), text_col, mark, **options).withColumnRenamed(kept, "spans").select(*columns)
     found = find_secrets(docs, text_col, **options)
     text = F.col(text_col)
 

@@ -12,8 +12,9 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
-from tallystone.llm import ann, bpe_codec, html_extract, jaccard_join, line_quality, lm_score, mixing, secrets, substring_dedup, token_counts
+from tallystone.llm import ann, bpe_codec, common, html_extract, jaccard_join, line_quality, lm_score, mixing, secrets, substring_dedup, token_counts
 from tallystone.llm.queries import read_file
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -182,6 +183,9 @@ def test_nearest_by_brute_force_with_ties_and_bad_vectors(spark):
         hits, total = hits + len({i for i, _ in got[q]} & set(best)), total + 5
     assert hits / total >= 0.9 and got[100][0][0] == 101
     assert ann.search(df.where("vec_id = 50")).collect() == []
+    small = [(1, [1.0, 0.0]), (50, [1.0, 2.0, 3.0]), (51, [1.0, 2.0, 3.1]), (52, [3.0, 0.0, 0.0]), (100, [0.0, 1.0]), (150, [1.0] * 5), (200, [])]
+    few = ann.search(spark.createDataFrame(small, "vec_id long, embedding array<double>"), block=1).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(50, 1, 51), (50, 2, 52), (100, 1, 1)]
     assert ann.search(df.limit(0)).collect() == []
 
 
@@ -216,6 +220,8 @@ def test_line_rules(spark, rows):
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
     kept = {r.doc_id: r.kept for r in got}
     assert all(kept[100 + i] for i in range(30)) and not any(kept[200 + i] for i in range(5)) and not kept[300]
+    clash = frame(spark, docs).withColumn("gone", F.lit(1)).withColumn("own", F.lit("x"))
+    assert line_quality.passing(clash).columns == clash.columns
     passing = line_quality.passing(frame(spark, docs))
     assert passing.columns == frame(spark, docs).columns and passing.count() == sum(r.kept for r in got)
 
@@ -258,6 +264,24 @@ def test_secrets(spark, rows):
     assert clean.columns == df.columns and clean.where("doc_id = 50").first().text == "é use <|secret|> now"
 
 
+def test_secrets_of_held_out_strings(spark):
+    import builtins
+    import keyword
+
+    r = random.Random(77)
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    drawn = ["".join(r.choices(a, k=r.randrange(18, 48))) for a in (b64, b64, "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(200)]
+    late = ["".join(r.choices(b64[:52], k=a)) + "7" + "".join(r.choices(b64[:52], k=62 - a)) for a in (30, 42) for _ in range(40)]
+    parts = [w.lower() for w in (*keyword.kwlist, *dir(builtins)) if w.isalpha() and len(w) > 2]
+    plain = ["".join(f(w) for w in r.sample(parts, 4)) if sep == "" else sep.join(r.sample(parts, 4)) for sep, f in (("", str.capitalize), ("_", str), ("/", str), ("-", str)) for _ in range(150)]
+    plain = [p for p in plain if len(p) >= 16]
+    docs = [(i, f"is {w} here", "s") for i, w in enumerate([*drawn, *late, *plain])]
+    hit = {x.doc_id for x in secrets.find_secrets(frame(spark, docs)).where("size(spans) > 0").collect()}
+    n = len(drawn) + len(late)
+    recall, wrong = len([i for i in hit if i < n]) / n, len([i for i in hit if i >= n])
+    assert recall >= 0.95 and wrong <= 0.02 * len(plain), (recall, wrong, len(plain))
+
+
 def test_secrets_after_a_sign_of_assignment_and_without_digits(spark):
     r = random.Random(12)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -411,6 +435,45 @@ def test_mixture_meets_capped_targets(spark, rows):
     assert sorted(map(str, mixing.mix(df.repartition(7)).collect())) == sorted(map(str, got))
 
 
+def test_repeated_rows_keep_their_own_columns(spark):
+    docs = [(1, "a b c", "s", "p"), (1, "a b c", "s", "q"), (2, "d e", "s", "p"), (2, "d e", "s", "p"), (3, None, None, "x"), (None, "f", "t", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, key string").withColumn("__n", F.lit(1)).withColumn("__key", F.lit(2))
+    got = Counter((r.doc_id, r.key) for r in mixing.repeated(df).collect())
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r.doc_id] += (2 * r.taken + r.size) // (2 * r.size) if r.size else 0
+    assert mixing.repeated(df).columns == df.columns and got[1, "p"] > 0 and got[1, "q"] > 0
+    assert {i: sum(n for (j, _), n in got.items() if j == i) for i in (1, 2, 3, None)} == {i: taken[i] for i in (1, 2, 3, None)}
+    assert mixing.repeated(df.limit(0)).count() == 0
+
+
+# --- shared helpers ---
+
+
+def test_salted_join_equals_the_plain_one(spark):
+    left = spark.range(20_000).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("h"), F.col("id").alias("x"))
+    right = left.groupBy("h").agg(F.count("*").alias("n"), F.min("x").alias("first")).where("n > 1")
+    out = common.spread_join(left, right, ["h"], "n", F.col("x"))
+    assert out.count() == left.join(right, "h").count() == right.agg(F.sum("n")).first()[0]
+    assert set(out.columns) == {"h", "a", "x", "first"} and out.where("first <> 0").count() == 0
+
+
+def test_shared_folder_and_staged_tables(spark, monkeypatch):
+    since = len(common.MADE)
+    a, b = common.staged(spark.range(3), "a"), common.staged(spark.range(4), "b")
+    common.drop_staged(spark, since, keep=b)
+    assert b.count() == 4 and len(common.MADE) == since + 1
+    with pytest.raises(Exception, match="(?i)not exist|FileNotFound|FAILED_READ"):
+        a.collect()
+    assert common.fresh(["key", "N_"], "key", "n", "n_") == ["key_", "n", "n__"]
+
+    class Away:
+        conf, sparkContext = type("C", (), {"get": lambda *_: None}), type("S", (), {"master": "yarn", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Away)
+
+
 # --- 9 ----------------------------------------------------------------------------------------
 
 
