@@ -153,6 +153,25 @@ def compose_edges(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, EDGE)
 
 
+def yaml_verdicts(files: DataFrame, fine) -> DataFrame:
+    """``project_id, path, fine``: what a predicate says of each YAML file's document; a file that doesn't parse fails."""
+    key = dict(files.dtypes)["project_id"]
+
+    def verdict(text: str | None) -> bool:
+        import yaml
+
+        try:
+            return bool(fine(yaml.safe_load(text or "")))
+        except yaml.YAMLError:
+            return False
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([verdict(t) for t in b.column(2).to_pylist()], pa.bool_())], ["project_id", "path", "fine"])
+
+    return files.select("project_id", "path", "content").mapInArrow(run, f"project_id {key}, path string, fine boolean")
+
+
 # --- Python syntax trees ----------------------------------------------------------------------
 
 FACT = "project_id string, path string, kind string, name string, detail string, line_no int, value int"
@@ -234,12 +253,52 @@ def api_calls(files: DataFrame) -> DataFrame:
     return _by_language(files, [*[_pairs(p, 1, 2) for p in PY_CALLS], _pairs(PY_URLOPEN, 0, 1)], [*[_pairs(p, 1, 2) for p in JS_CALLS], fetch])
 
 
-def api_endpoints(files: DataFrame) -> DataFrame:
-    """Endpoints of Flask, FastAPI, Django, Express and Nest: ``project_id, file, method, path``; Django answers any method."""
+def _decorated_endpoints(files: DataFrame) -> DataFrame:
+    """Endpoints that Python and JavaScript code registers; Koa's routers read like Express's, Django answers any method."""
     flask = F.flatten(F.transform(F.arrays_zip(every("content", FLASK, 1).alias("p"), every("content", FLASK, 2).alias("m")), lambda x: F.transform(F.split(F.when(x["m"] == "", "GET").otherwise(x["m"]), ","), lambda m: F.struct(F.upper(F.regexp_replace(m, r"[\s'\"]", "")).alias("method"), x["p"].alias("path")))))
     return _by_language(files, [flask, _pairs(FASTAPI, 1, 2), _pairs(DJANGO, 0, 1, "*")], [_pairs(EXPRESS, 1, 2), _pairs(NEST, 1, 2)])
 
 
+#: Methods of HTTP, and extensions of files that are routes.
+HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH", "HEAD", "OPTIONS")
+ROUTE_FILE = r"^(?:src/)?app/api/(?:(.*)/)?route\.(?:js|jsx|ts|tsx|mjs)$"
+PAGE_FILE = r"^(?:src/)?pages/api/(.*)\.(?:js|jsx|ts|tsx|mjs)$"
+
+
+def route_path(inner: Column) -> Column:
+    """The URL path of a route's folders: ``users/[id]`` is ``/api/users/{id}``; a catch-all loses its dots."""
+    parts = F.filter(F.split(inner, "/"), lambda p: (p != "") & (p != "."))
+    named = F.transform(parts, lambda p: F.regexp_replace(p, r"^\[\.*(.*)\]$", "{$1}"))
+    return F.concat_ws("/", F.lit("/api"), F.nullif(F.array_join(named, "/"), F.lit("")))
+
+
+def file_endpoints(files: DataFrame) -> DataFrame:
+    """Routes that are declared by file path: the ``app`` router's name their methods by exports, the ``pages`` router's answer any."""
+    named = F.filter(F.array(*[F.when(F.col("content").rlike(rf"export\s+(?:async\s+)?(?:function\s+{m}\b|const\s+{m}\b)"), m) for m in HTTP_METHODS]), lambda m: m.isNotNull())
+    routes = files.where(F.col("path").rlike(ROUTE_FILE)).select("project_id", F.col("path").alias("file"), F.explode(F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("*")))).alias("method"), route_path(F.regexp_extract("path", ROUTE_FILE, 1)).alias("path"))
+    inner = F.regexp_replace(F.regexp_extract("path", PAGE_FILE, 1), r"(^|/)index$", "")
+    pages = files.where(F.col("path").rlike(PAGE_FILE)).select("project_id", F.col("path").alias("file"), F.lit("*").alias("method"), route_path(inner).alias("path"))
+    return routes.unionByName(pages)
+
+
+def go_endpoints(files: DataFrame) -> DataFrame:
+    """Routes that Go code registers on a router, under the prefix of the router's group (the last of its name in a file)."""
+    group, route, handle = r"(\w+)\s*:?=\s*[\w.]+\.Group\(\s*[\"`]([^\"`]*)[\"`]", rf"(\w+)\.({'|'.join(HTTP_METHODS)})\(\s*[\"`]([^\"`]*)[\"`]", r"(\w+)\.(?:HandleFunc|Handle)\(\s*[\"`]([^\"`]*)[\"`]"
+    go = files.where("ext = '.go'")
+    prefixes = F.arrays_zip(every("content", group, 1).alias("name"), every("content", group, 2).alias("prefix"))
+    named = F.transform(F.arrays_zip(every("content", route, 1).alias("on"), every("content", route, 2).alias("method"), every("content", route, 3).alias("path")), lambda x: F.struct(x["on"].alias("on"), x["method"].alias("method"), x["path"].alias("path")))
+    any_ = F.transform(F.arrays_zip(every("content", handle, 1).alias("on"), every("content", handle, 2).alias("path")), lambda x: F.struct(x["on"].alias("on"), F.lit("*").alias("method"), x["path"].alias("path")))
+    rows = go.select("project_id", F.col("path").alias("file"), prefixes.alias("groups"), F.explode(F.concat(named, any_)).alias("x"))
+    own = F.element_at(F.concat(F.array(F.lit("")), F.transform(F.filter("groups", lambda g: g["name"] == F.col("x.on")), lambda g: F.regexp_replace(g["prefix"], "/+$", ""))), -1)
+    path = F.concat(own, F.col("x.path"))
+    return rows.select("project_id", "file", F.col("x.method").alias("method"), F.when(path == "", "/").otherwise(path).alias("path"))
+
+
+def api_endpoints(files: DataFrame) -> DataFrame:
+    """Endpoints of Flask, FastAPI, Django, Express, Koa, Nest, Next.js and Go routers: ``project_id, file, method, path``; ``*`` is any method."""
+    return _decorated_endpoints(files).unionByName(file_endpoints(files)).unionByName(go_endpoints(files))
+
+
 def config_references(files: DataFrame) -> DataFrame:
     """Configuration names that code reads: ``project_id, file, key``."""
     named = lambda patterns: [F.transform(every("content", p, 1), lambda k: F.struct(k.alias("key"))) for p in patterns]

@@ -7,9 +7,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import rates, text
-from ..operators import facts, graph, metrics, modules, sast, sast_rules
+from ..operators import facts, graph, judge, metrics, modules, sast, sast_rules
 from ..sources import tree
 from . import analysis, fixtures
 
@@ -279,27 +280,32 @@ def abi_jaccard(spark, sf_dir):
 
 # --- graphs -----------------------------------------------------------------------------------
 
-RAW_EDGES_SQL = """(SELECT 1 AS project_id, s_nationkey AS src, c_nationkey AS dst, CASE WHEN o_orderpriority LIKE '1%' THEN 'STATE' WHEN o_orderpriority LIKE '2%' THEN 'ADDR' ELSE 'RUNTIME' END AS edge_type, o_totalprice > 300000 AS atomic, l_orderkey * 10 + l_linenumber AS seq
- FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey % 997 = 3)"""
+#: A customer is a project, suppliers are its nodes: a line of an order depends on the next line of that order.
+RAW_EDGES_SQL = """(SELECT o_custkey AS project_id, src, dst, CASE WHEN o_orderpriority LIKE '1%' THEN 'STATE' WHEN o_orderpriority LIKE '2%' THEN 'ADDR' ELSE 'RUNTIME' END AS edge_type, o_totalprice > 300000 AS atomic, seq
+ FROM (SELECT l_orderkey, l_suppkey AS src, lead(l_suppkey) OVER w AS dst, l_orderkey * 1000 + row_number() OVER w AS seq FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)) JOIN orders ON l_orderkey = o_orderkey WHERE dst IS NOT NULL)"""
 EDGES_SQL = f"(SELECT project_id, src, dst, arg_max(edge_type, seq) AS edge_type, arg_max(atomic, seq) AS atomic FROM {RAW_EDGES_SQL} GROUP BY 1, 2, 3)"
-SCC_CTE = f"""WITH RECURSIVE e AS (SELECT * FROM {EDGES_SQL}), r AS (SELECT src AS a, dst AS b FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
- v AS (SELECT src AS n FROM e UNION SELECT dst FROM e), s AS (SELECT v.n AS node, least(v.n, coalesce(min(f.b), v.n)) AS scc FROM v LEFT JOIN r f ON f.a = v.n AND EXISTS (SELECT 1 FROM r g WHERE g.a = f.b AND g.b = v.n) GROUP BY v.n),
- i AS (SELECT e.*, x.scc AS cycle FROM e JOIN s x ON x.node = e.src JOIN s y ON y.node = e.dst AND y.scc = x.scc),
- c AS (SELECT i.cycle, count(DISTINCT i.src) AS n_nodes, count(*) AS n_edges, bool_or(i.edge_type = 'STATE') AS has_state,
- bool_or(i.edge_type = 'STATE' AND EXISTS (SELECT 1 FROM i k WHERE k.edge_type = 'STATE' AND k.src = i.dst AND k.dst = i.src AND (k.atomic OR i.atomic))) AS irreparable, min(CASE i.edge_type WHEN 'ADDR' THEN 1 WHEN 'STATE' THEN 2 ELSE 0 END)::BIGINT AS min_cost FROM i GROUP BY 1)"""
+SCC_CTE = f"""WITH RECURSIVE e AS MATERIALIZED (SELECT * FROM {EDGES_SQL}), r AS (SELECT project_id AS p, src AS a, dst AS b FROM e UNION SELECT r.p, r.a, e.dst FROM r JOIN e ON e.project_id = r.p AND r.b = e.src),
+ v AS (SELECT project_id AS p, src AS n FROM e UNION SELECT project_id, dst FROM e), m AS (SELECT f.p, f.a, min(f.b) AS low FROM r f JOIN r g ON g.p = f.p AND g.a = f.b AND g.b = f.a GROUP BY 1, 2),
+ s AS MATERIALIZED (SELECT v.p AS project_id, v.n AS node, least(v.n, coalesce(m.low, v.n)) AS scc FROM v LEFT JOIN m ON m.p = v.p AND m.a = v.n),
+ i AS MATERIALIZED (SELECT e.*, x.scc AS cycle FROM e JOIN s x ON x.project_id = e.project_id AND x.node = e.src JOIN s y ON y.project_id = e.project_id AND y.node = e.dst AND y.scc = x.scc),
+ k AS (SELECT project_id, src, dst, bool_or(atomic) AS atomic FROM i WHERE edge_type = 'STATE' GROUP BY 1, 2, 3),
+ c AS (SELECT i.project_id, i.cycle, count(DISTINCT i.src) AS n_nodes, count(*) AS n_edges, bool_or(i.edge_type = 'STATE') AS has_state, bool_or(i.edge_type = 'STATE' AND k.src IS NOT NULL AND (k.atomic OR i.atomic)) AS irreparable,
+ min(CASE i.edge_type WHEN 'ADDR' THEN 1 WHEN 'STATE' THEN 2 ELSE 0 END)::BIGINT AS min_cost FROM i LEFT JOIN k ON k.project_id = i.project_id AND k.src = i.dst AND k.dst = i.src GROUP BY 1, 2),
+ q AS (SELECT DISTINCT project_id FROM e)"""
 
 
 def edges(spark, sf_dir):
-    li = t(spark, sf_dir, "lineitem").where("l_orderkey % 997 = 3").select("l_orderkey", "l_linenumber", "l_suppkey")
-    rows = li.join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(t(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    own = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    line = t(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("src"), F.lead("l_suppkey").over(own).alias("dst"), (F.col("l_orderkey") * 1000 + F.row_number().over(own)).alias("seq")).where("dst is not null")
+    rows = line.join(t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     kind = F.when(F.col("o_orderpriority").startswith("1"), "STATE").when(F.col("o_orderpriority").startswith("2"), "ADDR").otherwise("RUNTIME")
-    raw = rows.select(F.lit(1).alias("project_id"), F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst"), kind.alias("edge_type"), (F.col("o_totalprice") > 300000).alias("atomic"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
+    raw = rows.select(F.col("o_custkey").alias("project_id"), "src", "dst", kind.alias("edge_type"), (F.col("o_totalprice") > 300000).alias("atomic"), "seq")
     return graph.edge_map(raw).select("project_id", "src", "dst", "edge_type", "atomic")
 
 
-@query(f"SELECT src, dst, edge_type, atomic FROM {EDGES_SQL}")
+@query(f"SELECT project_id, src, dst, edge_type, atomic FROM {EDGES_SQL}")
 def ddg_edges(spark, sf_dir):
-    return edges(spark, sf_dir).drop("project_id")
+    return edges(spark, sf_dir)
 
 
 @query(f"SELECT project_id, count(*) AS n_edges, count(*) FILTER (WHERE edge_type = 'ADDR') AS n_addr, count(*) FILTER (WHERE edge_type = 'STATE') AS n_state, count(*) FILTER (WHERE edge_type = 'RUNTIME') AS n_runtime, count(*) FILTER (WHERE atomic) AS n_atomic, count(*) FILTER (WHERE src = dst) AS n_self FROM {EDGES_SQL} GROUP BY 1")
@@ -307,31 +313,31 @@ def ddg_stats(spark, sf_dir):
     return graph.edge_stats(edges(spark, sf_dir))
 
 
-@query(f"{SCC_CTE} SELECT node, scc FROM s")
+@query(f"{SCC_CTE} SELECT project_id, node, scc FROM s")
 def scc(spark, sf_dir):
-    return graph.scc(edges(spark, sf_dir)).select("node", "scc")
+    return graph.scc(edges(spark, sf_dir)).select("project_id", "node", "scc")
 
 
-@query(f"{SCC_CTE} SELECT cycle, n_nodes, n_edges, has_state, min_cost FROM c")
+@query(f"{SCC_CTE} SELECT project_id, cycle, n_nodes, n_edges, has_state, min_cost FROM c")
 def cycles(spark, sf_dir):
-    return graph.cycles(edges(spark, sf_dir)).select("cycle", "n_nodes", "n_edges", "has_state", "min_cost")
+    return graph.cycles(edges(spark, sf_dir)).select("project_id", "cycle", "n_nodes", "n_edges", "has_state", "min_cost")
 
 
-@query(f"{SCC_CTE} SELECT cycle, irreparable FROM c")
+@query(f"{SCC_CTE} SELECT project_id, cycle, irreparable FROM c")
 def irreparable(spark, sf_dir):
-    return graph.cycles(edges(spark, sf_dir)).select("cycle", "irreparable")
+    return graph.cycles(edges(spark, sf_dir)).select("project_id", "cycle", "irreparable")
 
 
-@query(f"{SCC_CTE} SELECT CASE WHEN count(*) = 0 THEN 'DEPLOYABLE' WHEN bool_or(irreparable) THEN 'IRREPARABLE' ELSE 'REPAIRABLE' END AS rating, CASE WHEN count(*) = 0 OR bool_or(irreparable) THEN 'NONE' WHEN bool_or(has_state) THEN 'SDB' ELSE 'DARC' END AS pattern FROM c")
+@query(f"{SCC_CTE} SELECT q.project_id, CASE WHEN count(c.cycle) = 0 THEN 'DEPLOYABLE' WHEN bool_or(irreparable) THEN 'IRREPARABLE' ELSE 'REPAIRABLE' END AS rating, CASE WHEN count(c.cycle) = 0 OR bool_or(irreparable) THEN 'NONE' WHEN bool_or(has_state) THEN 'SDB' ELSE 'DARC' END AS pattern FROM q LEFT JOIN c USING (project_id) GROUP BY 1")
 def dfr(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return graph.feasibility(e, graph.cycles(e)).select("rating", "pattern")
+    return graph.feasibility(e.select("project_id").distinct(), graph.cycles(e)).select("project_id", "rating", "pattern")
 
 
-@query(f"{SCC_CTE} SELECT count(*) AS cycles, CASE WHEN count(*) = 0 THEN 0 WHEN bool_or(irreparable) THEN -1 ELSE sum(min_cost) END::BIGINT AS drd FROM c")
+@query(f"{SCC_CTE} SELECT q.project_id, count(c.cycle) AS cycles, CASE WHEN count(c.cycle) = 0 THEN 0 WHEN bool_or(irreparable) THEN -1 ELSE sum(min_cost) END::BIGINT AS drd FROM q LEFT JOIN c USING (project_id) GROUP BY 1")
 def drd(spark, sf_dir):
     e = edges(spark, sf_dir)
-    return graph.feasibility(e, graph.cycles(e)).select("cycles", "drd")
+    return graph.feasibility(e.select("project_id").distinct(), graph.cycles(e)).select("project_id", "cycles", "drd")
 
 
 # --- stages, smells, composites ---------------------------------------------------------------
@@ -386,30 +392,44 @@ def issue_histogram(spark, sf_dir):
 
 # --- judge ------------------------------------------------------------------------------------
 
-JUDGE_SQL = "(SELECT event_type AS metric, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS score FROM events)"
+#: Answers made of events: a metric by kind of event, a score that may lie outside the bands, in a block, in prose or missing.
+METRIC_SQL = "CASE event_type WHEN 'error' THEN 'deployment_risk' WHEN 'signup' THEN 'ownership_void' WHEN 'purchase' THEN 'defect_density' WHEN 'click' THEN 'vulnerability_density' ELSE 'specification_alignment' END"
+JUDGE_SQL = f"""(SELECT {METRIC_SQL} AS metric, CASE WHEN event_id % 5 = 4 THEN 3.0 ELSE least(greatest(round_even(k / 10.0 - 1, 0), 1), 5) END AS score, event_id % 5 <> 4 AS parsed,
+ CASE WHEN event_id % 5 = 4 OR event_id % 5 = 1 THEN 'low' ELSE 'high' END AS confidence, k FROM (SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events))"""
 
 
-def judged(spark, sf_dir):
-    return metrics.parse_judgements(t(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.col("props").alias("raw")), "$.k")
+def answers(spark, sf_dir):
+    """The events as a model's answers: blocks, prose before and after, two objects, a wrong confidence, nothing usable."""
+    k, kind = F.get_json_object("props", "$.k"), F.col("event_id") % 5
+    body = lambda sure: F.concat(F.lit('{"score": "'), (k.cast("double") / 10 - 1).cast("string"), F.lit(f'", "confidence": "{sure}", "evidence": ["a {{b}}"], "reasoning": "r"}}'))
+    raw = F.when(kind == 0, F.concat(F.lit("Well:\n```json\n"), body("high"), F.lit("\n``` done"))).when(kind == 1, body("certain")).when(kind == 2, F.concat(F.lit("I say "), body("high"), F.lit(' and {"score": 1}'))).when(kind == 3, F.concat(F.lit("```\n"), body("high"), F.lit("\n```"))).otherwise(F.lit("no {score here"))
+    metric = F.when(F.col("event_type") == "error", "deployment_risk").when(F.col("event_type") == "signup", "ownership_void").when(F.col("event_type") == "purchase", "defect_density").when(F.col("event_type") == "click", "vulnerability_density").otherwise("specification_alignment")
+    return t(spark, sf_dir, "events").select("event_id", metric.alias("metric"), k.cast("double").alias("k"), raw.alias("raw"))
 
 
-@query(f"SELECT metric, count(*) AS runs, count(score) AS parsed, round(avg(score), 6) AS mean FROM {JUDGE_SQL} GROUP BY 1")
+@query(f"SELECT metric, confidence, count(*) AS runs, count(*) FILTER (WHERE parsed) AS parsed, round(avg(score), 6) AS mean FROM {JUDGE_SQL} GROUP BY 1, 2")
 def judge_parse(spark, sf_dir):
-    return judged(spark, sf_dir).groupBy("metric").agg(F.count("*").alias("runs"), F.count("score").alias("parsed"), F.round(F.avg("score"), 6).alias("mean"))
+    rows = judge.parse_answers(answers(spark, sf_dir))
+    return rows.groupBy("metric", "confidence").agg(F.count("*").alias("runs"), F.count_if("parsed").alias("parsed"), F.round(F.avg("score"), 6).alias("mean"))
 
 
-@query(f"SELECT metric, round(avg(least(greatest(score / 10.0, 0), 10)), 6) AS native, round(avg(1 - least(greatest(score / 100.0, 0), 1)), 6) AS inverted FROM {JUDGE_SQL} GROUP BY 1")
+BANDS_SQL = "CASE metric " + " ".join(f"WHEN '{m}' THEN [{', '.join(map(str, b))}]" for m, b in judge.BANDS.items()) + " END"
+
+
+@query(f"SELECT metric, score, ({BANDS_SQL})[score::INTEGER] AS native FROM (SELECT metric, round_even(avg(score), 0) AS score FROM {JUDGE_SQL} GROUP BY 1)")
 def judge_native(spark, sf_dir):
-    rows = judged(spark, sf_dir)
-    clamp = lambda x, top: F.least(F.greatest(x, F.lit(0.0)), F.lit(float(top)))
-    return rows.groupBy("metric").agg(F.round(F.avg(clamp(F.col("score") / 10, 10)), 6).alias("native"), F.round(F.avg(1 - clamp(F.col("score") / 100, 1)), 6).alias("inverted"))
+    rows = judge.parse_answers(answers(spark, sf_dir))
+    means = rows.groupBy("metric").agg(F.bround(F.avg("score"), 0).alias("score"))
+    return means.join(judge.native_scores(rows, judge.ORDINAL).withColumnRenamed("score", "native"), "metric")
 
 
-@query(f"SELECT metric, CASE WHEN score IS NULL THEN 'none' WHEN score < 25 THEN 'low' WHEN score < 50 THEN 'moderate' WHEN score < 75 THEN 'high' ELSE 'severe' END AS band, count(*) AS n FROM {JUDGE_SQL} GROUP BY 1, 2")
+@query(f"""SELECT metric, shape, CASE WHEN bool_or(b) AND bool_or(n) THEN NULL WHEN bool_or(b) THEN 'ordinal' WHEN bool_or(n) THEN 'native' END AS scale, coalesce(bool_or(b) AND bool_or(n), FALSE) AS conflict
+ FROM (SELECT metric, shape, x > c AS b, x <= c AND x > 5 AS n FROM (SELECT metric, shape, CASE shape WHEN 0 THEN k / 100 WHEN 1 THEN score ELSE k / 50 END AS x, CASE metric WHEN 'deployment_risk' THEN 1 WHEN 'specification_alignment' THEN 1 WHEN 'ownership_void' THEN 100 ELSE 1e308 END AS c
+ FROM {JUDGE_SQL}, (SELECT unnest([0, 1, 2]) AS shape))) GROUP BY 1, 2""")
 def judge_scale(spark, sf_dir):
-    s = F.col("score")
-    band = F.when(s.isNull(), "none").when(s < 25, "low").when(s < 50, "moderate").when(s < 75, "high").otherwise("severe")
-    return judged(spark, sf_dir).groupBy("metric", band.alias("band")).agg(F.count("*").alias("n"))
+    rows = judge.parse_answers(answers(spark, sf_dir))
+    shapes = F.explode(F.array(*[F.struct(F.lit(i).alias("shape"), x.alias("score")) for i, x in enumerate((F.col("k") / 100, F.col("score"), F.col("k") / 50))]))
+    return judge.scale_of(rows.select("metric", shapes.alias("x")).select("metric", "x.*"), ["metric", "shape"])
 
 
 @query("""SELECT source AS project_id, count(*) AS files, sum(least(b, 50000 - before))::BIGINT AS bytes FROM (SELECT source, octet_length(encode(text)) AS b, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY octet_length(encode(text)) DESC, doc_id) - octet_length(encode(text)) AS before FROM documents) WHERE before < 50000 GROUP BY 1""")

@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame
 LEVELS = {"l1": (0.3, 0.6), "l2": (0.3, 0.6), "l3": (0.3, 0.6), "acds": (0.3, 0.6), "urr": (0.05, 0.2), "ccx": (5, 10), "csd": (20, 50)}
 
 
-def rows_of(df: DataFrame, most: int = 1000) -> list[dict]:
-    """At most ``most`` rows for a report; larger results belong in ``write``."""
-    return [r.asDict() for r in df.limit(most).collect()]
+def rows_of(df: DataFrame) -> list[dict]:
+    """All rows, fetched a partition at a time. A report is for results that a reader or a file can take; larger ones belong in ``write``."""
+    return [r.asDict() for r in df.toLocalIterator()]
 
 
 def shown(value) -> str:

@@ -59,10 +59,10 @@ def test_queries_without_oracle_have_rows(spark, name):
 
 
 def test_judge(spark):
-    rows = spark.createDataFrame([("p", "m", '```json\n{"score": 7.5, "confidence": "HIGH", "evidence": ["a"]}\n```'), ("p", "m", "no answer"), ("p", "m", '{"score": 2.5}')], "project_id string, metric string, raw string")
+    rows = spark.createDataFrame([("p", "m", '```json\n{"score": 4.5, "confidence": "high", "evidence": ["a"]}\n```'), ("p", "m", "no answer"), ("p", "m", '{"score": 2.5}')], "project_id string, metric string, raw string")
     parsed = judge.parse_answers(rows)
-    assert [r.score for r in parsed.collect()] == [7.5, None, 2.5] and parsed.first().confidence == "high"
-    assert judge.mean_of_runs(parsed).first().score == 5.0
+    assert [r.score for r in parsed.collect()] == [4.0, 3.0, 2.0] and parsed.first().confidence == "high"
+    assert judge.mean_of_runs(parsed).first().score == 3.0
     files = spark.createDataFrame([("p", "main.py", "main.py", ".py", "a\nb\n"), ("p", "big.py", "big.py", ".py", "line\n" * 10), ("p", "x.txt", "x.txt", ".txt", "no")], "project_id string, path string, name string, ext string, content string")
     got = {r.path: (r.content, r.truncated) for r in judge.sample_source(files, 16).collect()}
     assert got == {"main.py": ("a\nb\n", False), "big.py": ("line\nline", True)}
