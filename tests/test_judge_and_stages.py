@@ -71,3 +71,16 @@ def test_endpoints_by_file_and_of_go(spark):
         ("n", "GET", "/api/users/{id}"), ("n", "POST", "/api/users/{id}"), ("n", "*", "/api"), ("n", "DELETE", "/api/{slug}"), ("n", "*", "/api/items/{id}"), ("n", "*", "/api/items"),
         ("g", "GET", "/api/users"), ("g", "POST", "/x"), ("g", "*", "/h"), ("g", "GET", "/"), ("k", "GET", "/k"),
     }
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallystone.__main__ import main
+
+    demo = tmp_path / "demo"
+    demo.mkdir()
+    (demo / "a.py").write_text("import b\n\n\ndef f(x):\n    return x if x else 1\n")
+    (demo / "b.py").write_text("x = 1\n")
+    assert main(["list-metrics"]) == 0 and "urr:" in capsys.readouterr().out
+    assert main(["ccx", str(demo), "--format", "json"]) == 0
+    assert '"ccx": ' in capsys.readouterr().out
+    assert main(["id", str(demo), "--format", "csv", "--out", str(tmp_path / "x")]) == 0 and "HEALTHY" in (tmp_path / "x").read_text()
