@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,16 +61,63 @@ def components_of(src: list, dst: list) -> dict:
     return label
 
 
+def by_project(frames):
+    """Slices of frames that are sorted by project: whole projects, many at a time; only one that spans frames is held."""
+    held: list[pd.DataFrame] = []
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        project = pdf["project_id"].to_numpy()
+        if held and held[-1]["project_id"].iloc[-1] != project[0]:
+            yield pd.concat(held) if len(held) > 1 else held[0]
+            held = []
+        cut = int(np.flatnonzero(project == project[-1])[0])
+        if cut:
+            yield pd.concat([*held, pdf.iloc[:cut]])
+            held = []
+        held.append(pdf.iloc[cut:])
+    if held:
+        yield pd.concat(held)
+
+
+def labelled(pdf: pd.DataFrame):
+    """``(from, to, labels)`` for the rows of each project of a sorted frame."""
+    project, src, dst = pdf["project_id"].to_numpy(), pdf["src"].tolist(), pdf["dst"].tolist()
+    cuts = [0, *(np.flatnonzero(project[1:] != project[:-1]) + 1).tolist(), len(project)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield a, b, components_of(src[a:b], dst[a:b])
+
+
+def _together(edges: DataFrame) -> DataFrame:
+    return edges.repartition("project_id").sortWithinPartitions("project_id")
+
+
 def scc(edges: DataFrame) -> DataFrame:
-    """``(project_id, node, scc)``. One kernel call per project; a project's graph is at most its own files' size."""
-    kind = dict(edges.dtypes)["src"]
-    key = dict(edges.dtypes)["project_id"]
+    """``(project_id, node, scc)``. Projects are worked one after another in a task; a project's graph is at most its own files' size."""
+    kind, key = dict(edges.dtypes)["src"], dict(edges.dtypes)["project_id"]
+
+    def kernel(frames):
+        for pdf in by_project(frames):
+            rows = [(pdf["project_id"].iloc[a], n, c) for a, _, label in labelled(pdf) for n, c in label.items()]
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip(("project_id", "node", "scc"), zip(*rows, strict=True), strict=True)})
+
+    return _together(edges.select("project_id", "src", "dst")).mapInPandas(kernel, f"project_id {key}, node {kind}, scc {kind}")
+
+
+def inner_edges(edges: DataFrame) -> DataFrame:
+    """Edges within one component (self-loops included), with the component as ``cycle``, in one pass over the edges."""
+    kept = edges.select("project_id", "src", "dst", "edge_type", "atomic")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        label = components_of(pdf["src"].tolist(), pdf["dst"].tolist())
-        return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "node": list(label), "scc": list(label.values())})
+    def kernel(frames):
+        for pdf in by_project(frames):
+            src, dst = pdf["src"].tolist(), pdf["dst"].tolist()
+            ends = [(label[src[i]], label[dst[i]]) for a, b, label in labelled(pdf) for i in range(a, b)]
+            inside = [i for i, (x, y) in enumerate(ends) if x == y]
+            columns = {c: [values[i] for i in inside] for c in pdf.columns for values in [pdf[c].tolist()]}
+            yield pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()} | {"cycle": pd.Series([ends[i][0] for i in inside], dtype=object)})
 
-    return edges.select("project_id", "src", "dst").groupBy("project_id").applyInPandas(kernel, f"project_id {key}, node {kind}, scc {kind}")
+    types = dict(kept.dtypes)
+    return _together(kept).mapInPandas(kernel, ", ".join(f"{c} {t}" for c, t in types.items()) + f", cycle {types['src']}")
 
 
 def cycle_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -84,7 +132,7 @@ def cycles(edges: DataFrame, labels: DataFrame | None = None) -> DataFrame:
 
     Irreparable: STATE edges both ways between two nodes, one of them atomic (an atomic STATE self-loop is its own reverse).
     """
-    inner = cycle_edges(edges, labels if labels is not None else scc(edges))
+    inner = cycle_edges(edges, labels) if labels is not None else inner_edges(edges)
     rev = inner.where("edge_type = 'STATE'").select("project_id", F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("atomic").alias("back_atomic"))
     both = inner.join(rev, ["project_id", "src", "dst"], "left")
     stuck = (F.col("edge_type") == "STATE") & F.col("back_atomic").isNotNull() & (F.col("atomic") | F.col("back_atomic"))
