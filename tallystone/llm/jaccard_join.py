@@ -17,6 +17,7 @@ still hold two components, and only pairs across components.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ CHUNK = 256
 BLOCK = 4096
 SEEN = 32
 SORT = 1_000_000
-#: The order's sample: documents, occurrences from which a shingle is common, and how many are kept.
-SAMPLE_DOCS, COMMON, COMMON_KEPT = 5000, 3, 100_000
+#: Cells of the order's counts: a unit of the root of the text's bytes, least and most as powers of two, and cells of one row.
+CELLS_A_ROOT, LEAST_CELLS, MOST_CELLS, PART = 32, 16, 24, 4096
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
@@ -161,40 +162,58 @@ def grouped(batches, keys: list[str], columns: list[str]):
         yield last, rows
 
 
-def common_shingles(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
-    """Shingles that a bounded sample holds often. They come last in the order; which they are never changes a result."""
-    n = docs.count()
-    sample = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(max(1, n // SAMPLE_DOCS))) == 0)
+def rarity(docs: DataFrame, text_col: str, width: int) -> np.ndarray:
+    """By cell of the shingle hashes, the bit length of the number of documents' shingles in it, over all documents.
 
-    def run(batches):
-        shingle = Shingler(width)
-        for (texts,) in rows_of(batches, [text_col]):
-            h = np.concatenate([shingle(t) for t in texts]) if texts else np.empty(0, np.uint64)
-            h, k = np.unique(h, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(k.astype(np.int64))], ["h", "k"])
+    The order of shingles is by this, then by hash: rare ones first. Cells follow the square root of the text's bytes, between
+    2^16 and 2^24, one byte each, so the result fits driver and broadcast. It decides the size of buckets, never a result.
+    """
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(MOST_CELLS, max(LEAST_CELLS, math.ceil(math.log2(CELLS_A_ROOT * math.sqrt(size + 1)))))
+    shift = np.uint64(64 - bits)
 
-    often = sample.mapInArrow(run, "h long, k long").groupBy("h").agg(F.sum("k").alias("k")).where(F.col("k") >= COMMON)
-    top = often.orderBy(F.desc("k"), "h").limit(COMMON_KEPT).select("h").collect()
-    return np.sort(np.array([r[0] for r in top], dtype=np.int64).view(np.uint64))
+    def count(batches):
+        shingle, counts = Shingler(width), np.zeros(1 << bits, dtype=np.uint32)
+        for (texts,) in rows_of(batches, [text_col]):
+            for t in texts:
+                np.add.at(counts, (shingle(t) >> shift).astype(np.int64), 1)
+        parts = counts.reshape(-1, PART)
+        for at in range(0, len(parts), 64):
+            some = [r for r in range(at, min(at + 64, len(parts))) if parts[r].any()]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[r].tobytes() for r in some], pa.binary())], ["r", "pack"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for rs, packs in rows_of(batches, ["r", "pack"], 64):
+            for r, p in zip(rs, packs, strict=True):
+                if r not in sums:
+                    sums[r] = np.zeros(PART, dtype=np.int64)
+                sums[r] += np.frombuffer(p, dtype=np.uint32)
+        levels = [np.frexp(c.astype(np.float64))[1].astype(np.uint8).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], ["r", "pack"])
+
+    counted = docs.select(text_col).mapInArrow(count, "r int, pack binary").repartition("r").mapInArrow(add, "r int, pack binary")
+    out = np.zeros(1 << bits, dtype=np.uint8)
+    for r, p in counted.collect():
+        out[r * PART : (r + 1) * PART] = np.frombuffer(p, dtype=np.uint8)
+    return out
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, t: int, width: int) -> DataFrame:
     """Per row: key of the row, id, set size, digest of the set, its smallest hashes, its prefix in the common order, and its point."""
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text_col, width))
+    levels = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col, width))
 
     def run(batches):
-        shingle, last = Shingler(width), common.value
+        shingle, level = Shingler(width), levels.value
+        shift = np.uint64(65 - len(level).bit_length())
         for keys, ids, texts in rows_of(batches, ["k", "id", "t"], 256):
             sets = [shingle(x) for x in texts]
             prefixes, firsts = [], []
             for s in sets:
                 firsts.append(s[:FIRST].tobytes())
                 p = len(s) - -(-t * len(s) // 100) + 1 if len(s) else 0
-                if len(last) and len(s):
-                    at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                    hot = last[at] == s
-                    s = np.concatenate([s[~hot][:p], s[hot][:p]])
-                prefixes.append(s[:p].tobytes())
+                rare = np.argsort(level[(s >> shift).astype(np.int64)], kind="stable")[:p]
+                prefixes.append(s[rare].tobytes())
             fp = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(fp, pa.binary()), pa.array(firsts, pa.binary()), pa.array(prefixes, pa.binary()), pa.array([point(s).tobytes() for s in sets], pa.binary())],

@@ -387,6 +387,18 @@ def test_components_by_brute_force(spark, rows):
     assert kept.where("length(trim(text)) > 0").count() == n_components and kept.columns == frame(spark, docs).columns
 
 
+def test_rarity_counts_the_shingles_of_all_documents(spark):
+    texts = [" ".join(f"w{i * j % 7}x{j}" for j in range(40)) for i in range(30)] + ["a b c d e f"] * 20 + [None, "", "one"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    shingle, want = jaccard_join.Shingler(5), np.zeros(1 << 16, dtype=np.int64)
+    for t in texts:
+        np.add.at(want, (shingle(t) >> np.uint64(48)).astype(np.int64), 1)
+    for parts in (1, 7):
+        assert jaccard_join.rarity(docs.repartition(parts), "text", 5).tolist() == [int(c).bit_length() for c in want]
+    assert not jaccard_join.rarity(docs.limit(0), "text", 5).any()
+
+
+
 def test_tree_bounds_never_lose_a_pair():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, size=rng.integers(5, 300)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(80)]
