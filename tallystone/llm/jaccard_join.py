@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, rows_of, staged
+from .common import fresh, rows_of, spread_join, staged
 from .components import components
 
 #: Coordinates of a point, shingles of a set that name its buckets in the first round, points of a tree leaf, most documents of one bucket task and of one block, buckets that a node carries, shingles of one sort.
@@ -285,8 +285,8 @@ def first_round(docs: DataFrame, reps: DataFrame, id_col: str, text_col: str, t:
     the bucket; links that this misses are left to the exact round.
     """
     member = first_keys(reps)
-    buckets = member.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1")
-    placed = member.join(buckets, "key").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    buckets = member.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("low")).where("m > 1").withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
+    placed = spread_join(member, staged(buckets, "buckets"), ["key"], "m", F.col("node"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     spots = F.when(F.col("node") == F.col("low"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(own))
     visits = placed.select("node", "key", F.explode(spots).alias("chunk")).groupBy("node").agg(F.collect_list(F.struct("key", "chunk")).alias("visits"))
@@ -364,8 +364,8 @@ def exact_candidates(found: DataFrame, points: DataFrame, t: int) -> DataFrame:
     tree leaf are bounded together, a few thousand pairs in one array operation. A pair that several buckets hold comes from the
     first of them: each node carries its first ``SEEN`` buckets, and a pair waits if both carry an earlier one.
     """
-    size = found.groupBy("key").agg(F.count("*").alias("m"))
-    rows = found.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    size = found.groupBy("key").agg(F.count("*").alias("m")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+    rows = spread_join(found, staged(size, "sizes"), ["key"], "m", F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("own"), o).alias("x"), F.greatest(F.col("own"), o).alias("y")))
     rows = rows.select("key", "node", "label", "own", F.explode(pairs).alias("p")).select("key", "node", "label", "own", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     seen = found.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, SEEN).alias("seen"))
