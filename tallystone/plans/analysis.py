@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.rates import density, smoothed_rate
-from ..operators import boundary, facts, graph, metrics
+from ..operators import boundary, facts, graph, metrics, workspaces
 from ..operators.modules import all_edges
 from ..sources import manifests, tree
 
@@ -21,7 +21,7 @@ def import_references(files: DataFrame) -> DataFrame:
     """``project_id, path, module, is_internal, resolved``.
 
     A Python module is internal if it, a package above it or a module below it is the project's, and resolved if it or a module below it is.
-    A relative JavaScript import resolves to a file, with an extension or as a folder's index.
+    For JavaScript see ``workspaces.references``.
     """
     py = files.where(F.col("ext").isin(".py", ".pyi"))
     parts = F.split(text.python_module(F.col("path")), r"\.", -1)
@@ -33,17 +33,7 @@ def import_references(files: DataFrame) -> DataFrame:
     above = above.join(own, ["project_id", "module"], "left_semi").select("project_id", F.col("m").alias("module")).distinct().withColumn("is_internal", F.lit(True))
     python = refs.join(own, ["project_id", "module"], "left").join(above, ["project_id", "module"], "left")
     python = python.select("project_id", "path", "module", F.coalesce("is_internal", F.lit(False)).alias("is_internal"), (F.col("known").isNotNull() | F.col("is_internal").isNull()).alias("resolved"))
-    js = files.where(F.col("ext").isin(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"))
-    found = js.select("project_id", "path", "dirs", F.explode(facts.every("content", JS_IMPORT, 1)).alias("module")).withColumn("ref", F.monotonically_increasing_id())
-    joined = F.concat_ws("/", F.nullif(F.array_join("dirs", "/"), F.lit("")), F.col("module"))
-    for _ in range(6):
-        joined = F.regexp_replace(F.regexp_replace(joined, r"(^|/)\./", "$1"), r"(^|/)(?!\.\.?/)[^/]+/\.\.(/|$)", "$1")
-    base = F.regexp_replace(F.regexp_replace(joined, r"/$", ""), r"(?<=.)\.(js|jsx|ts|tsx|mjs|cjs)$", "")
-    modules = js.select("project_id", F.explode(F.array_distinct(F.array(text.js_module(F.col("path")), F.regexp_replace("path", r"\.(d\.ts|tsx?|jsx?|mjs|cjs)$", "")))).alias("target"))
-    other = files.select("project_id", F.col("path").alias("target"))
-    hit = found.where("module like '.%'").select("project_id", "ref", F.explode(F.array_distinct(F.array(base, joined))).alias("target")).join(modules.unionByName(other).distinct(), ["project_id", "target"], "left_semi").select("ref", F.lit(True).alias("hit")).distinct()
-    rel = F.col("module").startswith(".")
-    script = found.join(hit, "ref", "left").select("project_id", "path", "module", rel.alias("is_internal"), (~rel | F.col("hit").isNotNull()).alias("resolved"))
+    script = workspaces.references(files, JS_IMPORT)
     return python.unionByName(script)
 
 

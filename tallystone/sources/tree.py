@@ -16,6 +16,7 @@ SKIP = (".git .hg .svn __pycache__ .pytest_cache .mypy_cache .tox .nox .eggs nod
 SCAN_SKIP = "node_modules .git __pycache__ .venv venv env dist build .next .nuxt vendor target .tox .mypy_cache .pytest_cache coverage .cache migrations static assets public out".split()
 LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".go": "go", ".rs": "rust", ".sol": "solidity",
              ".json": "config", ".yaml": "config", ".yml": "config", ".toml": "config", ".cfg": "config", ".ini": "config"}
+PRINT_SKIP = "node_modules .git __pycache__ venv .next build dist artifacts cache coverage package-lock.json yarn.lock".split()
 MAX_FILE, MAX_SCAN = 10 * 1024 * 1024, 500 * 1024
 
 
@@ -105,3 +106,9 @@ def project_types(files: DataFrame) -> DataFrame:
     compose = F.col("name").isin("docker-compose.yml", "docker-compose.yaml", "compose.yml", "compose.yaml")
     has = {"python": F.col("ext").isin(".py", ".pyi"), "javascript": F.col("ext").isin(".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs"), "solidity": F.col("ext") == ".sol", "docker": compose}
     return files.groupBy("project_id").agg(*[F.bool_or(c).alias(n) for n, c in has.items()])
+
+
+def fingerprint(files: DataFrame) -> DataFrame:
+    """``project_id, item``: the distinct paths of a project, names in Pascal case replaced by ``<NAME>``; for ``metrics.homogeneity``."""
+    kept = files.where(~F.arrays_overlap(F.concat("dirs", F.array("name")), F.array(*map(F.lit, PRINT_SKIP))))
+    return kept.select("project_id", F.regexp_replace("path", "[A-Z][a-z]+(?:[A-Z][a-z]+)*", "<NAME>").alias("item")).distinct()
