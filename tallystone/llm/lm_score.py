@@ -2,10 +2,11 @@
 
 The model predicts a token from the two before it: ``r = C1 x[w-1] + C2 x[w-2]`` scores first a group of tokens,
 ``r . t[g] + c[g]``, then a token in the group, ``r . q[w] + b[w]``; both normalisers are sums over all alternatives,
-from batched matrix products. The vocabulary grows with the corpus: about ``2 sqrt(N)`` tokens of N have parameters of
-their own. The most frequent are groups by themselves, the others share groups by rank, as many as each holds. Tokens
-beyond are grouped by their last three bytes and have their add-one relative frequency in the group. So every
-token has a normalised probability, met in training or not.
+the first from products of contexts' exponentials, the second from batched matrix products. The vocabulary grows
+with the corpus: about ``2 sqrt(N)`` tokens of N have parameters of their own. The most frequent are groups by
+themselves, the others share groups by rank, as many as each holds. Tokens beyond are grouped by their last three
+bytes and have their add-one relative frequency in the group. So every token has a normalised probability, met in
+training or not.
 
 Training is numpy, on all training texts, in synchronous rounds. Texts are dealt to rounds and shards by
 hash. In a round each shard starts from the same parameters and makes steps of noise-contrastive estimation; the
@@ -17,15 +18,15 @@ from __future__ import annotations
 
 import math
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import rows_of, staged
+from .common import rows_of, staged, tidy
 from .jaccard_join import grouped
 
 #: Tokens that are groups by themselves, groups of tokens without parameters, dimensions.
@@ -37,21 +38,53 @@ FREQUENT, LONGEST = 200_000, 64
 SORT = 1_000_000
 #: Packs that rows are cut into at once.
 FAN = 4096
+#: Positions that are scored at once, groups of which contexts' exponentials are held at once, pairs or positions worked at once, largest exponent of a factor.
+WINDOW, COLUMNS, BLOCK, STEEP = 1 << 19, 64, 2048, 40
 END = b""
 
 
-def tokens_of(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of some texts, each text's followed by an end, and how many each has. Long tokens stand as digests."""
-    out: list[bytes] = []
-    sizes = np.empty(len(texts), dtype=np.int64)
-    for i, t in enumerate(texts):
-        words = t.encode().lower().split() if t else []
-        if t and len(t) > LONGEST and max(map(len, words), default=0) > LONGEST:
-            words = [w if len(w) <= LONGEST else b"\x00" + xxhash.xxh3_128_digest(w) for w in words]
-        out += words
-        out.append(END)
-        sizes[i] = len(words) + 1
-    return out, sizes
+def parts_of(batches, size: int):
+    """Slices of Arrow batches, at most ``size`` rows at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+    tidy()
+
+
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    return batch.column(batch.schema.get_field_index(name))
+
+
+def bytes_of(words: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; ``to_pylist`` makes a scalar of each first."""
+    if not len(words):
+        return []
+    at, data = np.frombuffer(words.buffers()[1], dtype=np.int32)[words.offset : words.offset + len(words) + 1].tolist(), words.buffers()[2]
+    data = data.slice(at[0], at[-1] - at[0]).to_pybytes() if data else b""
+    return [data[x - at[0] : y - at[0]] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
+def tokens_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts, which of them each token is, each text's followed by an end, and how many each text has.
+
+    Arrow splits and numbers the words, so that no token is a Python object. Long ones stand as digests.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    words, found = coded.dictionary.cast(pa.large_binary()).cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False)
+    end = pc.index(words, pa.scalar(END, pa.binary())).as_py()
+    if end < 0:  # else a text begins or ends with a space or is empty, which gives empty strings
+        end, words = len(words), pa.concat_arrays([words, pa.array([END], pa.binary())])
+    real = found != end
+    sizes = np.bincount(owner[real], minlength=len(texts)).astype(np.int64) + 1
+    which = np.full(sizes.sum(), end, dtype=np.int64)
+    inner = np.ones(len(which), dtype=bool)
+    inner[np.cumsum(sizes) - 1] = False
+    which[inner] = found[real]
+    if pc.max(pc.binary_length(words)).as_py() > LONGEST:
+        words = pa.array([w if len(w) <= LONGEST else b"\x00" + xxhash.xxh3_128_digest(w) for w in bytes_of(words)], pa.binary())
+    return words, which, sizes
 
 
 def signed(h: int) -> int:
@@ -61,22 +94,28 @@ def signed(h: int) -> int:
 def token_counts(docs: DataFrame) -> DataFrame:
     """``(h, word, c)`` over the training texts. Tasks count first and pass on a row for each token they met."""
 
+    def merged(held: list) -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
+
+    def out(met: pa.Table):
+        for rows in met.to_batches(20_000):
+            words = column(rows, "word")
+            yield pa.RecordBatch.from_arrays([pa.array([signed(xxhash.xxh3_64_intdigest(x)) for x in bytes_of(words)], pa.int64()), words, column(rows, "c")], ["h", "word", "c"])
+
     def run(batches):
-        counts: dict[bytes, int] = {}
-
-        def out():
-            words = list(counts)
-            for at in range(0, len(words), 20_000):
-                w = words[at : at + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array([signed(xxhash.xxh3_64_intdigest(x)) for x in w], pa.int64()), pa.array(w, pa.binary()), pa.array([counts[x] for x in w], pa.int64())], ["h", "word", "c"])
-            counts.clear()
-
-        for (texts,) in rows_of(batches, ["t"]):
-            for w in tokens_of(texts)[0]:
-                counts[w] = counts.get(w, 0) + 1
-            if len(counts) > 400_000:
-                yield from out()
-        yield from out()
+        held, size = [], 0
+        for rows in parts_of(batches, 1024):
+            words, which, _ = tokens_of(column(rows, "t"))
+            held.append(pa.table({"word": words, "c": np.bincount(which, minlength=len(words))}))
+            size += len(words)
+            if size > 800_000:
+                held = [merged(held)]
+                size = len(held[0])
+                if size > 400_000:
+                    yield from out(held[0])
+                    held, size = [], 0
+        if held:
+            yield from out(merged(held))
 
     rows = docs.where(~F.col("held_out")).select("t").mapInArrow(run, "h long, word binary, c long")
     return staged(rows.groupBy("h", "word").agg(F.sum("c").alias("c")), "counts")
@@ -123,7 +162,7 @@ class Vocabulary:
         self.group_share = np.bincount(self.group, weights=share, minlength=self.groups)
         self.unit_share = share[:own] / self.group_share[self.group[:own]]  # of a unit in its group
         self.group_share /= self.group_share.sum()
-        self.number: dict[bytes, int] = {}
+        self.array: pa.Array | None = None
 
     def tail(self, word: bytes) -> int:
         return self.own + zlib.crc32(word[-3:]) % TAILS
@@ -133,15 +172,16 @@ class Vocabulary:
         """The context before a text."""
         return self.own + TAILS
 
-    def indexed(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number among the frequent tokens (-1: none) and unit of each token; places of the others."""
-        if not self.number:
-            self.number = {w: i for i, w in enumerate(self.words)}
-        idx = np.fromiter(map(self.number.get, tokens, repeat(-1)), dtype=np.int64, count=len(tokens))
+    def indexed(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """Number among the frequent tokens (-1: none) and unit of each of some tokens; places of the others, and these."""
+        if self.array is None:
+            self.array = pa.array(self.words, pa.binary())
+        idx = pc.index_in(words, value_set=self.array).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         rare = np.flatnonzero(idx < 0)
+        others = bytes_of(words.take(pa.array(rare)))
         units = self.units[idx] if len(self.words) else np.zeros(len(idx), dtype=np.int64)
-        units[rare] = [self.tail(tokens[i]) for i in rare.tolist()]
-        return idx, units, rare
+        units[rare] = [self.tail(w) for w in others]
+        return idx, units, rare, others
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -269,24 +309,56 @@ class LogBilinear:
     def log_probs(self, w: np.ndarray, p1: np.ndarray, p2: np.ndarray) -> np.ndarray:
         """Natural log of the probability of units (for a tail: of all its tokens together), normalised over all alternatives of both levels."""
         v, out, size = self.v, np.empty(len(w)), self.v.start + 1
-        one, two, t = self.x @ self.c[:DIM], self.x @ self.c[DIM:], np.ascontiguousarray(self.t.T)
-        for at in range(0, len(w), 131_072):
-            s = slice(at, at + 131_072)
+        one, two = self.x @ self.c[:DIM], self.x @ self.c[DIM:]
+        for at in range(0, len(w), WINDOW):
+            s = slice(at, at + WINDOW)
             pairs, place = np.unique(p1[s] * size + p2[s], return_inverse=True)
             r = np.ones((len(pairs), DIM + 1), dtype=np.float32)
             r[:, :DIM] = one.take(pairs // size, 0) + two.take(pairs % size, 0)
-            norm = np.concatenate([log_sum(r[i : i + 512] @ t) for i in range(0, len(r), 512)])
+            norm = self.group_norms(one, two, pairs // size, pairs % size, r)
             g = v.group.take(w[s])
-            mine = r.take(place, 0)
-            out[s] = np.einsum("nd,nd->n", mine, self.t.take(g, 0)) - norm[place]
+            for low in range(0, len(g), BLOCK):
+                i = slice(low, low + BLOCK)
+                out[at:][i] = np.einsum("nd,nd->n", r.take(place[i], 0), self.t.take(g[i], 0)) - norm[place[i]]
             inside = np.flatnonzero((w[s] >= TOP) & (w[s] < v.own))
             inside = inside[np.argsort(g[inside], kind="stable")]
             cuts = np.flatnonzero(np.diff(g[inside], prepend=-1, append=-1)) if len(inside) else []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                i = inside[a:b]
-                low = TOP + (g[i[0]] - TOP) * v.size
-                scores = mine.take(i, 0) @ self.q[low : min(low + v.size, v.own)].T
-                out[at + i] += scores[np.arange(len(i)), w[at + i] - low] - log_sum(scores)
+                low = TOP + (g[inside[a]] - TOP) * v.size
+                q = self.q[low : min(low + v.size, v.own)].T
+                for begin in range(a, b, BLOCK):
+                    i = inside[begin : min(begin + BLOCK, b)]
+                    scores = r.take(place[i], 0) @ q
+                    out[at + i] += scores[np.arange(len(i)), w[at + i] - low] - log_sum(scores)
+        return out
+
+    def group_norms(self, one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """log of the sum over groups of exp(r . t), r being ``one[a] + two[b]`` and a 1 for the bias.
+
+        exp of the sum is the product of exp(one[a] . t) and exp(two[b] . t), so exponentials are taken for each context, not for each pair. Pairs
+        with a factor too steep for that are summed by themselves.
+        """
+        total, sides = np.zeros(len(a)), []
+        for x, of, bias in ((one, a, 1), (two, b, 0)):
+            seen = np.zeros(len(x), dtype=bool)
+            seen[of] = True
+            met, place = np.flatnonzero(seen), (np.cumsum(seen) - 1)[of]
+            sides.append((np.column_stack([x.take(met, 0), np.full(len(met), bias, dtype=np.float32)]), place, np.zeros(len(met), dtype=bool)))
+        for low in range(0, len(self.t), COLUMNS):
+            t, factors = np.ascontiguousarray(self.t[low : low + COLUMNS].T), []
+            for x, _, steep in sides:
+                scores = x @ t
+                steep |= (scores.max(axis=1) > STEEP) | (scores.min(axis=1) < -STEEP)
+                np.clip(scores, -STEEP, STEEP, out=scores)
+                factors.append(np.exp(scores, out=scores))
+            for at in range(0, len(a), BLOCK):
+                s = slice(at, at + BLOCK)
+                total[s] += np.einsum("nd,nd->n", *(f.take(place[s], 0) for f, (_, place, _) in zip(factors, sides, strict=True)))
+        out = np.log(total)
+        alone = np.flatnonzero(sides[0][2][sides[0][1]] | sides[1][2][sides[1][1]])
+        for at in range(0, len(alone), BLOCK):
+            i = alone[at : at + BLOCK]
+            out[i] = log_sum(r[i] @ self.t.T)
         return out
 
 
@@ -300,11 +372,12 @@ def logistic(x: np.ndarray) -> np.ndarray:
 
 
 def log_sum(scores: np.ndarray) -> np.ndarray:
-    """log of the sum of exp along rows. Scores beyond what exp can hold are shifted first."""
-    if scores.size and scores.max() > 80:
-        top = scores.max(axis=1)
-        return np.log(np.exp(scores - top[:, None]).sum(axis=1)) + top
-    return np.log(np.exp(scores) @ np.ones(scores.shape[1], dtype=scores.dtype))
+    """log of the sum of exp along rows. Rows whose largest score is beyond what exp can hold are shifted first."""
+    top = scores.max(axis=1)
+    top[np.abs(top) <= 80] = 0
+    if top.any():
+        scores = scores - top[:, None]
+    return np.log(np.exp(scores) @ np.ones(scores.shape[1], dtype=scores.dtype)) + top
 
 
 def contexts(units: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +400,8 @@ def dealt(docs: DataFrame, sent, shards: int, ranges: int) -> DataFrame:
     types = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}[x.split()[1]] for x in TABLE.split(", ")]
 
     def table_batch(n: int, **columns) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in zip(names, types, strict=True)], names)
+        arrays = [columns.get(c) for c in names]
+        return pa.RecordBatch.from_arrays([pa.nulls(n, t) if a is None else a.cast(t) if isinstance(a, pa.Array) else pa.array(a, t) for a, t in zip(arrays, types, strict=True)], names)
 
     def run(batches):
         vocab, rare_rows = sent.value, []
@@ -337,24 +411,24 @@ def dealt(docs: DataFrame, sent, shards: int, ranges: int) -> DataFrame:
             rare_rows.clear()
             return table_batch(len(at), r=at, pack=data)
 
-        for keys, row, ids, held, texts in rows_of(batches, ["key", "row", "id", "held_out", "t"], 256):
-            words, sizes = tokens_of(texts)
-            idx, units, rare = vocab.indexed(words)
-            owner = np.repeat(np.arange(len(texts)), sizes)
+        for rows in parts_of(batches, 512):
+            words, which, sizes = tokens_of(column(rows, "t"))
+            idx, units, rare, others = vocab.indexed(words)
+            hashes = np.zeros(len(words), dtype=np.int64)
+            hashes[rare] = [signed(xxhash.xxh3_64_intdigest(w)) for w in others]
+            idx, units = idx[which], units[which]
+            owner = np.repeat(np.arange(rows.num_rows), sizes)
             known = idx >= 0
             freq, mine = idx[known], owner[known]
-            total = lambda x: np.bincount(mine, weights=x, minlength=len(texts))
-            slots = [k % (ROUNDS * shards) for k in keys]
+            total = lambda x: np.bincount(mine, weights=x, minlength=rows.num_rows)  # noqa: B023, E731
+            slots = column(rows, "key").to_numpy() % (ROUNDS * shards)
             yield table_batch(
-                len(keys), round=[x % ROUNDS for x in slots], shard=[x // ROUNDS for x in slots], key=keys, row=row, id=ids, held_out=held, n_tokens=sizes,
-                n_known=np.bincount(mine, minlength=len(texts)).astype(np.int64), base=total(vocab.base[freq]), part=total(vocab.within[freq]), units=[u.tobytes() for u in np.split(units.astype(np.int32), np.cumsum(sizes)[:-1])] if texts else [],
+                rows.num_rows, round=slots % ROUNDS, shard=slots // ROUNDS, **{c: column(rows, c) for c in ("key", "row", "id", "held_out")}, n_tokens=sizes,
+                n_known=np.bincount(mine, minlength=rows.num_rows), base=total(vocab.base[freq]), part=total(vocab.within[freq]), units=[u.tobytes() for u in np.split(units.astype(np.int32), np.cumsum(sizes)[:-1])],
             )
+            rare = np.flatnonzero(~known)
             if len(rare):
-                rows = np.empty((len(rare), 3), dtype=np.int64)
-                rows[:, 0] = [signed(xxhash.xxh3_64_intdigest(words[i])) for i in rare.tolist()]
-                rows[:, 1] = np.array(row, dtype=np.int64)[owner[rare]]
-                rows[:, 2] = units[rare] - vocab.own
-                rare_rows.append(rows)
+                rare_rows.append(np.column_stack([hashes[which[rare]], column(rows, "row").to_numpy()[owner[rare]], units[rare] - vocab.own]))
                 if sum(map(len, rare_rows)) > 400_000:
                     yield rare_batch()
         if rare_rows:
@@ -378,12 +452,12 @@ def trained(table: DataFrame, sent, shards: int, seed: int) -> LogBilinear:
         rate = 0.12 * (1 - number / (ROUNDS + 2))
 
         def run(batches, given=given, number=number, rate=rate):
-            vocab, last, local, steps, held = sent.value, None, None, None, []
+            vocab, last, local, steps, held, size = sent.value, None, None, None, [], 0
             batch = batch_of(vocab.total)
 
             def done():
                 if held:
-                    feed(steps, held, seed + number, batch)
+                    feed(steps, held, vocab.start, seed + number, batch)
                 return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([local.packed().tobytes()], pa.large_binary())], ["shard", "flat"])
 
             for shard_ids, packs_ in rows_of(batches, ["shard", "units"], 256):
@@ -391,15 +465,16 @@ def trained(table: DataFrame, sent, shards: int, seed: int) -> LogBilinear:
                     if shard != last:
                         if last is not None:
                             yield done()
-                        last, held = shard, []
+                        last, held, size = shard, [], 0
                         rows, sums = given.value
                         local = LogBilinear(vocab, [r.copy() for r in rows], [s.copy() for s in sums])
                         steps = local.train(seed + 1000 * number + shard, rate)
                         next(steps)
-                    units = np.frombuffer(pack, dtype=np.int32).astype(np.int64)
-                    held.append((units, *contexts(units, np.array([len(units)]), vocab.start)))
-                    if sum(len(h[0]) for h in held) >= 16 * BATCH:
-                        feed(steps, held, seed + number, batch)
+                    held.append(pack)
+                    size += len(pack) // 4
+                    if size >= 16 * BATCH:
+                        feed(steps, held, vocab.start, seed + number, batch)
+                        size = 0
             if last is not None:
                 yield done()
 
@@ -423,9 +498,10 @@ def trained(table: DataFrame, sent, shards: int, seed: int) -> LogBilinear:
     return model
 
 
-def feed(steps, held: list[tuple], seed: int, batch: int) -> None:
-    """Steps over the held positions in random order; a batch mixes texts."""
-    w, p1, p2 = (np.concatenate(x) for x in zip(*held, strict=True))
+def feed(steps, held: list[bytes], start: int, seed: int, batch: int) -> None:
+    """Steps over the positions of the held texts in random order; a batch mixes texts."""
+    w = np.frombuffer(b"".join(held), dtype=np.int32).astype(np.int64)
+    p1, p2 = contexts(w, np.array([len(h) // 4 for h in held]), start)
     held.clear()
     order = np.random.default_rng(seed + len(w)).permutation(len(w))
     for at in range(0, len(w), batch):
@@ -476,14 +552,16 @@ def scored(table: DataFrame, sent, model) -> DataFrame:
     def run(batches):
         vocab, lbl = sent.value, LogBilinear(sent.value, *model.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                data = rows.column(rows.schema.get_field_index("units")).to_pylist()
+            ends = np.cumsum(pc.binary_length(column(batch, "units")).to_numpy() // 4)
+            cuts = np.flatnonzero(np.diff((ends - 1) // WINDOW, prepend=-1, append=-1)) if len(ends) else []
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = batch.slice(low, high - low)
+                data = column(rows, "units").to_pylist()
                 sizes = np.array([len(u) // 4 for u in data])
                 units = np.frombuffer(b"".join(data), dtype=np.int32).astype(np.int64)
                 logs = lbl.log_probs(units, *contexts(units, sizes, vocab.start))
-                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes)) / math.log(10) + rows.column(rows.schema.get_field_index("part")).to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(score) if c == "score" else rows.column(rows.schema.get_field_index(c)) for c in names], names)
+                score = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=logs, minlength=len(sizes)) / math.log(10) + column(rows, "part").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(score) if c == "score" else column(rows, c) for c in names], names)
 
     return table.where("units is not null").select(*names[:-1], "part", "units").mapInArrow(run, fields)
 

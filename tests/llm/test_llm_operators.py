@@ -158,6 +158,57 @@ def test_vocabulary_grows_and_packs_of_many_ranges_lose_nothing(spark, monkeypat
     assert all(got[i][0] == want[i][0] and math.isclose(got[i][1], want[i][1], rel_tol=1e-9) and math.isfinite(got[i][2]) for i in want)
 
 
+def test_tokens_of_any_text_by_brute_force(spark):
+    r = random.Random(8)
+    signs = [*map(chr, range(1, 128)), "é", "\x85", "\u2003", "Ä", "\U0001d4b3", *" \n" * 20]
+    texts = [None, "", " ", "é" * 40, "é" * 40 + " in a text longer than the bytes of a digest, and some more", "x" * 64 + " " + "X" * 65, *("".join(r.choices(signs, k=r.randrange(200))) for _ in range(120))]
+    docs = list(enumerate(texts)) + [(i, None) for i in range(200, 207)]
+    got = {x.doc_id: x for x in lm_score.lm_scores(frame(spark, [(i, t, "s") for i, t in docs])).collect()}
+    toks = {i: [*WORD.findall(t.translate({c: c + 32 for c in range(65, 91)}) if t else ""), None] for i, t in docs}
+    c = Counter(w for i, x in toks.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in x)
+    n, v = sum(c.values()), len(c)
+    for i, own_ in toks.items():
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(own_), sum(c[w] > 0 for w in own_), n), texts[i]
+        assert math.isclose(got[i].base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in own_), rel_tol=1e-9), texts[i]
+
+
+def test_normalisers_take_exponentials_for_contexts_not_for_pairs(monkeypatch):
+    counts = [50] + sorted((5 + 3000 // (i + 1) for i in range(420)), reverse=True)
+    words_ = [b""] + [f"w{i}".encode() for i in range(420)]
+    tails: dict = {}
+    for w, c in zip(words_, counts, strict=True):
+        k = zlib.crc32(w[-3:]) % lm_score.TAILS
+        tails[k] = (tails.get(k, (0, 0))[0] + c, tails.get(k, (0, 0))[1] + 1)
+    v = lm_score.Vocabulary(words_, counts, sum(counts), 421, tails)
+    model = lm_score.LogBilinear.begin(v, 3)
+    p1, p2 = (x.ravel() for x in np.meshgrid(np.arange(150), np.arange(100, 250)))
+    taken = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def exp(self, x, **how):
+            taken.append(x.size)
+            return np.exp(x, **how)
+
+    def want():
+        x, c, t = (a.astype(np.float64) for a in (model.x, model.c, model.t))
+        scores = (x[p1] @ c[: lm_score.DIM] + x[p2] @ c[lm_score.DIM :]) @ t[:, :-1].T + t[:, -1]
+        top = scores.max(axis=1)
+        return scores[:, 0] - top - np.log(np.exp(scores - top[:, None]).sum(axis=1))
+
+    monkeypatch.setattr(lm_score, "np", Counting())
+    assert np.allclose(model.log_probs(np.zeros(len(p1), dtype=np.int64), p1, p2), want(), atol=1e-4)
+    assert sum(taken) <= 2 * 150 * v.groups
+    monkeypatch.setattr(lm_score, "BLOCK", 100)
+    monkeypatch.setattr(lm_score, "WINDOW", 7000)
+    model.x[[3, 120]] *= 300  # factors beyond what single precision holds
+    model.t[:, -1] -= 200
+    got = model.log_probs(np.zeros(len(p1), dtype=np.int64), p1, p2)
+    assert np.isfinite(got).all() and np.allclose(got, want(), rtol=1e-4, atol=1e-3)
+
+
 # --- 3 ----------------------------------------------------------------------------------------
 
 
